@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from .ann import op5_ann
+from .language_id import op3_language_id
+from .mixing import op4_mixing
+from .near_dedup import op9_near_dedup
 from .packing import op2_packing
+from .sharding import op8_sharding
 from .token_counts import op7_token_counts
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_language_id": op3_language_id,
+    "op4_mixing": op4_mixing,
+    "op5_ann": op5_ann,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
+    "op8_sharding": op8_sharding,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
