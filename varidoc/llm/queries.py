@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from .ann import op5_ann
 from .language_id import op3_language_id
+from .media import op1_media
 from .mixing import op4_mixing
 from .near_dedup import op9_near_dedup
 from .packing import op2_packing
+from .quality import op10_quality
 from .sharding import op8_sharding
 from .token_counts import op7_token_counts
 from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
@@ -20,6 +23,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
     "op9_near_dedup": op9_near_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
