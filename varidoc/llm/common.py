@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one bucket of a bucketed prefix sum should hold.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 10_000
 #: White space of the word rule: space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
