@@ -3,9 +3,10 @@
 Documents are cut into whole windows and a remainder. Remainder lengths fall into bins; every
 combination of at most `depth` bins that fills a window exactly is a column of a matrix, and
 non-negative least squares finds how often to repeat each so that together they use up the histogram.
-Repeat counts are rounded down. What is left over is packed greedily: its tokens are poured, in order,
-into the room that rounding lengths up left at the ends of planned sequences, then into new ones. Only
-poured documents are cut elsewhere than at a multiple of the window.
+Repeat counts are rounded down, and the residual histogram is packed greedily, longest first. A share of the
+documents, picked by digest, is a pool kept out of the plan: its tokens are poured, in order, into the room
+that rounding lengths up left at the ends of planned sequences, then into new ones. Only pooled documents
+are cut elsewhere than at a multiple of the window, so only their ids need storing and moving.
 
 The histogram and the plan have a fixed size; ranks within a bin, positions in the poured stream and
 sequence numbers are bucketed prefix sums, so no task holds a bin, a source or the stream. Null texts
@@ -16,6 +17,7 @@ give no pieces. Columns other than the id and the text are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,15 +43,23 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def ids(self, text: str, last: bytes) -> np.ndarray:
+        if "<|" not in text and "\u03a3" not in text and "\u0130" not in text:
+            text = text.lower()  # as the tokenizer does; fewer distinct chunks
         chunks = chunks_of(text)
         known = self.known
-        new = [*{c for c in chunks if c not in known}]
+        distinct = set(chunks)
+        new = distinct.difference(known)
         if new:
             if len(known) > CACHE_CHUNKS:
                 known.clear()
-                new = [*set(chunks)]
-            for chunk, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+                new = distinct
+            # a word and the full stop or comma after it are two words of the tokenizer
+            ended = [c for c in new if c[-1] in ".," and c[:-1].isalpha()]
+            plain = [*(new.difference(ended) | {c[:-1] for c in ended}.difference(known) | {".", ","}.difference(known))]
+            for chunk, e in zip(plain, self.library.encode_batch_fast(plain, add_special_tokens=False)):
+                known[chunk] = array("I", e.ids).tobytes()
+            for c in ended:
+                known[c] = known[c[:-1]] + known[c[-1]]
         return np.frombuffer(b"".join([*map(known.__getitem__, chunks), last]), dtype="<u4")
 
 
@@ -63,25 +73,27 @@ def encoder(path: str) -> Encoder:
 
 
 def _lengths(docs: DataFrame, window: int, end_id: int, path: str) -> DataFrame:
-    """A narrow row for each document: its token count and the checksums of its windows and remainder."""
+    """A row for each document: its token count, the checksums of its windows and remainder, and for
+    documents of the pool the ids of the remainder."""
     last = np.array([end_id], dtype="<u4").tobytes()
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            n, full, rest = [], [], []
-            for text in batch.column("text").to_pylist():
+            n, full, rest, kept = [], [], [], []
+            for text, pooled in zip(batch.column("text").to_pylist(), batch.column("pooled").to_pylist()):
                 ids = enc.ids(text, last)
                 k = len(ids) // window
                 n.append(len(ids))
                 full.append([zlib.crc32(ids[i * window : (i + 1) * window].tobytes()) for i in range(k)])
                 rest.append(zlib.crc32(ids[k * window :].tobytes()))
+                kept.append(ids[k * window :].tobytes() if pooled else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int64())],
-                ["doc_id", "text_hash", "doc_tokens", "window_crcs", "rest_crc"])
+                [batch.column("doc_id"), batch.column("order"), batch.column("pooled"), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int64()), pa.array(kept, pa.binary())],
+                ["doc_id", "order", "pooled", "doc_tokens", "window_crcs", "rest_crc", "rest_ids"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, text_hash long, doc_tokens long, window_crcs array<long>, rest_crc long")
+    return docs.mapInArrow(run, f"doc_id {id_type}, order string, pooled boolean, doc_tokens long, window_crcs array<long>, rest_crc long, rest_ids binary")
 
 
 @lru_cache(4)
@@ -134,50 +146,56 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
-def plan(counts: np.ndarray, tokens: np.ndarray, window: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Combinations used (one per row, counts by bin) and how often each is repeated."""
-    bins = len(counts)
+def plan(counts: np.ndarray, bins: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Combinations (one per row, counts by bin) and how often each is repeated; they seat every document.
+
+    Least squares first, rounded down; then the residual histogram greedily: each sequence takes the
+    longest that still fits, and is repeated as often as the residual allows."""
     a = combinations(bins, depth)
     weight = np.arange(1, bins + 1) / bins
     x = nnls(a * weight[:, None], counts * weight)
-    used = np.flatnonzero(x > 0)
-    x, a = x[used], a[:, used]
-    mean = np.divide(tokens, np.maximum(counts, 1))
-    while True:
-        repeat = np.floor(x + 1e-9)
-        if counts.size:  # never more slots of a bin than it has documents
-            for b in np.flatnonzero(a @ repeat > counts):
-                over = (a[b] > 0)
-                repeat[over] = np.floor(repeat[over] * counts[b] / (a[b] @ repeat))
-        slots = a @ repeat
-        room = repeat.sum() * window - slots @ mean
-        if room <= tokens.sum() - slots @ mean or not repeat.any():
-            keep = repeat > 0
-            return a[:, keep].T.astype(int), repeat[keep].astype(int)
-        x = x * 0.99
-
-
-def pack(docs: DataFrame, *, window: int = 4096, bins: int = 64, depth: int = 6, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    used = np.flatnonzero(x >= 1)
+    repeat, a = np.floor(x[used] + 1e-9), a[:, used]
+    for b in np.flatnonzero(a @ repeat > counts):  # never more slots of a bin than it has documents
+        over = a[b] > 0
+        repeat[over] = np.floor(repeat[over] * counts[b] / (a[b] @ repeat))
+    rows, times = [*a.T.astype(int)], [*repeat.astype(int)]
+    left = (counts - a @ repeat).astype(int)
+    while left.any():
+        one, room = np.zeros(bins, int), bins
+        for b in np.flatnonzero(left)[::-1]:
+            one[b] = min(left[b], room // (b + 1))
+            room -= one[b] * (b + 1)
+        n = int(min(left[one > 0] // one[one > 0]))
+        rows.append(one)
+        times.append(n)
+        left -= n * one
+    keep = np.array(times) > 0
+    return np.array(rows)[keep], np.array(times)[keep]
+
+
+def pack(docs: DataFrame, *, window: int = 4096, bins: int = 64, depth: int = 6, pool: float = 0.12, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, kind
     (window, planned, poured). Every token lies in exactly one piece; sequences have window tokens at most."""
     path = path or tokenizer_path()
     unit = window // bins
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    order = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text).cast("string")))
+    docs = docs.select(F.col(id_col).alias("doc_id"), order.alias("order"), text.alias("text"))
+    # the pool is a share of the digests' range; it does not depend on lengths, so one pass is enough
+    docs = docs.select("doc_id", "order", (slice_of(F.reverse("order"), 1 << 20) < int(pool * (1 << 20))).alias("pooled"), "text")
     rows = written(_lengths(docs, window, end_id, path), "pack-lengths")
     rest = (F.col("doc_tokens") % window)
     rows = rows.withColumn("rest", rest).withColumn("bin", F.ceil(F.col("rest") / unit).cast("int"))
-    rows = rows.withColumn("order", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_hash").cast("string"))))
-    n_rows = rows.count()
-    nb = buckets_for(n_rows)
+    nb = buckets_for(rows.count())
     rows = rows.withColumn("slice", slice_of(F.col("order"), nb))
 
-    hist = rows.filter("rest > 0").groupBy("bin").agg(F.count("*").alias("n"), F.sum("rest").alias("tokens")).collect()
-    counts, tokens = np.zeros(bins), np.zeros(bins)
+    hist = rows.filter("rest > 0 and not pooled").groupBy("bin").agg(F.count("*").alias("n")).collect()
+    counts = np.zeros(bins)
     for r in hist:
-        counts[r["bin"] - 1], tokens[r["bin"] - 1] = r["n"], r["tokens"]
-    combos, repeat = plan(counts, tokens, window, depth) if hist else (np.zeros((0, bins), int), np.zeros(0, int))
+        counts[r["bin"] - 1] = r["n"]
+    combos, repeat = plan(counts, bins, depth) if hist else (np.zeros((0, bins), int), np.zeros(0, int))
     first = np.concatenate([[0], np.cumsum(repeat)])  # sequence number of each combination's first repeat
     n_planned = int(first[-1])
     per = combos * repeat[:, None]
@@ -186,46 +204,37 @@ def pack(docs: DataFrame, *, window: int = 4096, bins: int = 64, depth: int = 6,
 
     @F.pandas_udf("sequence_id long, slot int")
     def seat(bin_: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        """The slot of the rank-th document of a bin; -1 if the plan has none for it."""
+        """The slot of the rank-th document of a bin."""
         b, r = bin_.to_numpy() - 1, rank.to_numpy() - 1
-        seq, slot = np.full(len(b), -1), np.zeros(len(b), int)
+        seq, slot = np.zeros(len(b), int), np.zeros(len(b), int)
         for one in np.unique(b):
             at = b == one
             s = np.searchsorted(taken[:, one], r[at], side="right") - 1
-            ok = r[at] < taken[-1, one]
-            s = np.where(ok, np.minimum(s, max(len(combos) - 1, 0)), 0)
-            if len(combos):
-                each = np.maximum(combos[s, one], 1)
-                rel = r[at] - taken[s, one]
-                seq[at] = np.where(ok, first[s] + rel // each, -1)
-                slot[at] = np.where(ok, base[s, one] + rel % each, 0)
+            rel, each = r[at] - taken[s, one], combos[s, one]
+            seq[at] = first[s] + rel // each
+            slot[at] = base[s, one] + rel % each
         return pd.DataFrame({"sequence_id": seq, "slot": slot.astype("int32")})
 
     ordered = ["order", "doc_id"]
-    seated = with_running_total(rows.filter("rest > 0").drop("window_crcs"), ["bin"], "slice", ordered, F.lit(1), "rank")
-    seated = written(seated.withColumn("seat", seat("bin", "rank")).select(
-        "doc_id", "text_hash", "doc_tokens", "rest_crc", "rest", "order", "slice", "seat.sequence_id", "seat.slot"), "pack-seats")
-
+    narrow = rows.filter("rest > 0 and not pooled").select("doc_id", "order", "slice", "bin", "doc_tokens", "rest", "rest_crc")
+    seated = with_running_total(narrow, ["bin"], "slice", ordered, F.lit(1), "rank").withColumn("seat", seat("bin", "rank"))
     w = Window.partitionBy("sequence_id").orderBy("slot")
-    planned = seated.filter("sequence_id >= 0").withColumn("offset", F.sum("rest").over(w) - F.col("rest"))
-    planned = planned.select("doc_id", (F.col("doc_tokens") - F.col("rest")).alias("start"), F.col("rest").alias("length"),
-                             F.col("rest_crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", F.lit("planned").alias("kind"))
+    seated = seated.select("doc_id", "doc_tokens", "rest_crc", "rest", "seat.sequence_id", "seat.slot").withColumn("offset", F.sum("rest").over(w) - F.col("rest"))
+    planned = written(seated.select("doc_id", (F.col("doc_tokens") - F.col("rest")).alias("start"), F.col("rest").alias("length"),
+                                    F.col("rest_crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", F.lit("planned").alias("kind")), "pack-planned")
 
-    # Room left in planned sequences, then new sequences: one capacity line that the stream is poured along.
-    used = seated.filter("sequence_id >= 0").groupBy("sequence_id").agg(F.sum("rest").alias("used"))
-    stream = seated.filter("sequence_id < 0")
+    # Room left in planned sequences, then new sequences: one line of capacity that the pool is poured along.
+    used = planned.groupBy("sequence_id").agg(F.sum("length").alias("used"))
+    stream = rows.filter("rest > 0 and pooled").select("doc_id", "order", "slice", "doc_tokens", "rest", "rest_ids")
     totals = stream.agg(F.sum("rest")).first()[0] or 0
-    filled = used.agg(F.sum("used")).first()[0] or 0
-    room = n_planned * window - filled
+    room = n_planned * window - (planned.agg(F.sum("length")).first()[0] or 0)
     n_new = max(0, -(-(totals - room) // window))
-    seqs = spark.range(n_planned + n_new).withColumnRenamed("id", "sequence_id")
-    gaps = seqs.join(used, "sequence_id", "left").select("sequence_id", F.coalesce("used", F.lit(0)).alias("used"))
-    gaps = gaps.withColumn("room", F.lit(window) - F.col("used")).withColumn("part", F.floor(F.col("sequence_id") / BUCKET_ROWS))
+    new = spark.range(n_planned, n_planned + n_new).select(F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("used"))
+    gaps = used.unionByName(new).withColumn("room", F.lit(window) - F.col("used")).withColumn("part", F.floor(F.col("sequence_id") / BUCKET_ROWS))
     gaps = with_running_total(gaps.filter("room > 0"), [], "part", ["sequence_id"], F.col("room"), "to")
     gaps = gaps.select("sequence_id", "used", (F.col("to") - F.col("room")).alias("g0"), F.col("to").alias("g1"))
     poured = with_running_total(stream, [], "slice", ordered, F.col("rest"), "to")
-    poured = poured.select("doc_id", "text_hash", "doc_tokens", (F.col("doc_tokens") - F.col("rest")).alias("first"),
-                           (F.col("to") - F.col("rest")).alias("s0"), F.col("to").alias("s1"))
+    poured = poured.select("doc_id", "doc_tokens", "rest", (F.col("to") - F.col("rest")).alias("s0"), F.col("to").alias("s1"), "rest_ids")
 
     def cells(a: str, b: str):
         return F.explode(F.sequence(F.floor(F.col(a) / window), F.floor((F.col(b) - 1) / window)))
@@ -233,39 +242,18 @@ def pack(docs: DataFrame, *, window: int = 4096, bins: int = 64, depth: int = 6,
     met = poured.withColumn("cell", cells("s0", "s1")).join(gaps.withColumn("cell", cells("g0", "g1")), "cell")
     lo, hi = F.greatest("s0", "g0"), F.least("s1", "g1")
     met = met.filter((lo < hi) & (F.floor(lo / window) == F.col("cell")))
-    cut = met.select("doc_id", "text_hash", "doc_tokens", (F.col("first") + lo - F.col("s0")).alias("start"), (hi - lo).alias("length"),
-                     "sequence_id", (F.col("used") + lo - F.col("g0")).alias("offset"))
-    cut = written(cut, "pack-poured")
-
-    keys = cut.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    same = (F.col("text_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    texts = docs.join(keys, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    texts = texts.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "text")
-    cut = cut.join(texts, same).drop("_d", "_h", "text_hash").sortWithinPartitions("doc_id", "start")
-
-    last = np.array([end_id], dtype="<u4").tobytes()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "kind"]
-    schema = ", ".join(f"{n} {planned.schema[n].dataType.simpleString()}" for n in names)
-
-    def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, text, ids = encoder(path), None, None
-        for batch in batches:
-            crcs = []
-            for t, start, n in zip(batch.column("text").to_pylist(), batch.column("start").to_pylist(), batch.column("length").to_pylist()):
-                if t != text:
-                    text, ids = t, enc.ids(t, last)
-                crcs.append(zlib.crc32(ids[start : start + n].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(crcs, pa.int64()) if n == "ids_crc32" else pa.array(["poured"] * len(crcs)) if n == "kind" else batch.column(n) for n in names], names)
-
-    cut = cut.mapInArrow(checksums, schema)
+    skip = lo - F.col("s0")
+    # ids are four bytes each
+    crc = F.crc32(F.substring("rest_ids", (skip * 4 + 1).cast("int"), ((hi - lo) * 4).cast("int")))
+    cut = met.select("doc_id", (F.col("doc_tokens") - F.col("rest") + skip).alias("start"), (hi - lo).alias("length"), crc.alias("ids_crc32"),
+                     "doc_tokens", "sequence_id", (F.col("used") + lo - F.col("g0")).alias("offset"), F.lit("poured").alias("kind"))
 
-    whole = with_running_total(rows.filter(f"doc_tokens >= {window}"), [], "slice", ordered, F.size("window_crcs").cast("long"), "to")
+    whole = with_running_total(rows.filter(f"doc_tokens >= {window}").select("doc_id", "order", "slice", "doc_tokens", "window_crcs"), [], "slice", ordered, F.size("window_crcs").cast("long"), "to")
     whole = whole.withColumn("first", F.lit(n_planned + n_new) + F.col("to") - F.size("window_crcs"))
     whole = whole.select("doc_id", "doc_tokens", "first", F.posexplode("window_crcs").alias("i", "ids_crc32"))
     whole = whole.select("doc_id", (F.col("i") * F.lit(window).cast("long")).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens",
                          (F.col("first") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit("window").alias("kind"))
-    return planned.select(*names).unionByName(cut).unionByName(whole)
+    return planned.unionByName(cut).unionByName(whole)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
