@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,11 +22,11 @@ def same_ignoring_case(a: Column, b: Column) -> Column:
 
 def find_any(s: Column, characters: str) -> Column:
     """1-based place of the first of some characters, 0 if none."""
-    return F.regexp_instr(s, F.lit("[" + "".join("\\" + c for c in characters) + "]"))
+    return F.regexp_instr(s, F.lit("[" + re.escape(characters) + "]"))
 
 
 def find_not_in(s: Column, characters: str) -> Column:
-    return F.regexp_instr(s, F.lit("[^" + "".join("\\" + c for c in characters) + "]"))
+    return F.regexp_instr(s, F.lit("[^" + re.escape(characters) + "]"))
 
 
 def read_decimal(s: Column) -> Column:
