@@ -132,10 +132,18 @@ def test_text(spark):
 
 def test_walk(spark):
     df = spark.range(1).select("id", doc('{"a":[1,{"b/c":null}],"d e":{}}').alias("v"))
-    got = {r["pointer"]: (r["path"], r["depth"], r["type"]) for r in walk.doc_walk(df, "id", "v").collect()}
+    walked = walk.doc_walk(df, "id", "v").orderBy(col("visit").asc_nulls_first(), "pos").collect()
+    assert [r["pointer"] for r in walked] == ["/", "/a", "/d e", "/a/0", "/a/1", "/a/1/b~1c"]
+    got = {r["pointer"]: (r["path"], r["depth"], r["type"]) for r in walked}
     assert got == {"/": ("", 0, "dict"), "/a": ("a", 1, "array"), "/d e": ('["d e"]', 1, "dict"), "/a/0": ("a[0]", 2, "number"), "/a/1": ("a[1]", 2, "dict"), "/a/1/b~1c": ('a[1]["b/c"]', 3, "null")}
 
 
+def test_walk_order(spark):
+    df = spark.range(1).select("id", doc('{"f":[{"x":1},{"y":2}],"g":3,"t":["p"]}').alias("v"))
+    got = [r["pointer"] for r in walk.doc_walk(df, "id", "v").orderBy(col("visit").asc_nulls_first(), "pos").collect()]
+    assert got == ["/", "/f", "/g", "/t", "/t/0", "/f/0", "/f/1", "/f/1/y", "/f/0/x"]
+
+
 JSON = st.recursive(st.none() | st.booleans() | st.integers(-5, 5) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=90),
                     lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text("abc", min_size=1, max_size=2), x, max_size=4), max_leaves=12)
 

@@ -22,7 +22,10 @@ def _path(parent: Column, key: Column, index: Column) -> Column:
 
 
 def doc_walk(df: DataFrame, id_col: str, v: str, *, max_depth: int | None = None, prune: tuple[str, ...] = ()) -> DataFrame:
-    """id, pointer, path, parent_pointer, key, idx, depth, type, value. The root's pointer is `/`.
+    """id, pointer, path, parent_pointer, key, idx, depth, type, value, visit, pos. The root's pointer is `/`.
+
+    Ordered by (visit, pos), nulls first, a container's values come together, and of its containers the last
+    is opened first: the order in which a single thread with a stack of open containers meets them.
 
     Levels are unions of lateral explodes; with max_depth no job runs before the result is used, without
     it one small job a level asks whether containers are left. Values under pruned pointers are skipped.
@@ -30,7 +33,8 @@ def doc_walk(df: DataFrame, id_col: str, v: str, *, max_depth: int | None = None
     none = F.lit(None)
     level = df.filter(F.col(v).isNotNull()).select(
         F.col(id_col).alias("id"), F.lit("/").alias("pointer"), F.lit("").alias("path"), none.cast("string").alias("parent_pointer"),
-        none.cast("string").alias("key"), none.cast("int").alias("idx"), F.lit(0).alias("depth"), F.col(v).alias("value"))
+        none.cast("string").alias("key"), none.cast("int").alias("idx"), F.lit(0).alias("depth"), F.col(v).alias("value"),
+        none.cast("array<int>").alias("visit"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("opened"))
     level = level.withColumn("type", doc_type(F.col("value")))
     found = level
     for depth in range(1, MAX_DEPTH + 1):
@@ -41,16 +45,17 @@ def doc_walk(df: DataFrame, id_col: str, v: str, *, max_depth: int | None = None
             inside = inside.filter(~F.col("pointer").isin(*prune))
         if max_depth is None and inside.isEmpty():
             break
-        inside = inside.select("id", F.col("pointer").alias("up"), F.col("path").alias("up_path"), F.col("type").alias("up_type"), F.col("value").alias("up_value"))
+        inside = inside.select("id", F.col("pointer").alias("up"), F.col("path").alias("up_path"), F.col("type").alias("up_type"), F.col("value").alias("up_value"), F.col("opened").alias("up_opened"))
         inside = inside.lateralJoin(inside.sparkSession.tvf.variant_explode(F.col("up_value").outer()))
         idx = F.when(F.col("up_type") == "array", F.col("pos").cast("int"))
         step = F.coalesce(_escaped(F.col("key")), F.col("pos").cast("string"))
         level = inside.select(
             "id", F.concat(F.when(F.col("up") == "/", "").otherwise(F.col("up")), F.lit("/"), step).alias("pointer"), _path(F.col("up_path"), F.col("key"), idx).alias("path"),
-            F.col("up").alias("parent_pointer"), F.when(F.col("up_type") == "dict", F.col("key")).alias("key"), idx.alias("idx"), F.lit(depth).alias("depth"), "value")
+            F.col("up").alias("parent_pointer"), F.when(F.col("up_type") == "dict", F.col("key")).alias("key"), idx.alias("idx"), F.lit(depth).alias("depth"), "value",
+            F.col("up_opened").alias("visit"), F.col("pos").cast("int").alias("pos"), F.concat("up_opened", F.array(-F.col("pos").cast("int"))).alias("opened"))
         level = level.withColumn("type", doc_type(F.col("value")))
         found = found.unionByName(level)
-    return found.select("id", "pointer", "path", "parent_pointer", "key", "idx", "depth", "type", "value")
+    return found.select("id", "pointer", "path", "parent_pointer", "key", "idx", "depth", "type", "value", "visit", "pos")
 
 
 def diff_rows(old: DataFrame, new: DataFrame, id_col: str, v: str, *, max_depth: int | None = None) -> DataFrame:
