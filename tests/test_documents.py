@@ -105,6 +105,10 @@ def test_json5(spark):
     assert not one(spark, source.is_valid(lit('1,"z":2')))
 
 
+def test_json5_text(spark):
+    assert one(spark, source.to_json5(doc('{"a":"\\"b\\":","c\\"d":{"1x":1,"$e":"f:"}}'))) == '{a:"\\"b\\":","c\\"d":{$e:"f:","1x":1}}'
+
+
 def test_require(spark):
     assert one(spark, F.to_json(source.require(doc("[1]"), "array"))) == "[1]"
     with pytest.raises(Exception, match="no dict"):

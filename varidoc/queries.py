@@ -205,6 +205,12 @@ def parse_json5(spark, sf_dir):
         "event_id", values.as_int(doc_get(col("v"), "id")).alias("id"), values.as_string(doc_get(col("v"), "kind")).alias("kind"), values.as_int(doc_get(col("v"), "props.k")).alias("k"), values.as_double(doc_get(col("v"), "half")).alias("half"))
 
 
+@query("""select event_id, '{"a-b":"' || event_type || '",id:' || event_id || '}' as doc from events""")
+def json5_text(spark, sf_dir):
+    doc = F.to_variant_object(F.struct(col("event_type").alias("a-b"), col("event_id").alias("id")))
+    return _table(spark, sf_dir, "events").select("event_id", source.to_json5(doc).alias("doc"))
+
+
 @query("""select event_id, '{"tags":["' || event_type || '","x"],"user":' || user_id || case when event_id % 2 = 0 then '' else ',"v":' || event_id % 2 end || '}' as doc from events""")
 def build_from_template(spark, sf_dir):
     doc = doc_build("{user: %d, tags: [%s, 'x'], v: %-d, gone: %s}", col("user_id"), col("event_type"), col("event_id") % 2, lit(None).cast("string"))

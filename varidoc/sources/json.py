@@ -51,5 +51,10 @@ def to_json(v: Column) -> Column:
     return F.to_json(v)
 
 
+def to_json5(v: Column) -> Column:
+    """JSON text with bare keys wherever JSON5 allows them."""
+    return F.regexp_replace(F.to_json(v), r'''"([A-Za-z_$][A-Za-z0-9_$]*)"(?=:)|("(?:[^"\\]|\\.)*")''', "$1$2")
+
+
 def write_ndjson(df: DataFrame, v: str, path: str) -> None:
     df.select(F.to_json(v).alias("value")).write.text(path)
