@@ -11,6 +11,12 @@ from varidoc.functions.values import doc_type
 MAX_DEPTH = 100
 
 
+def _type(v: Column) -> Column:
+    """doc_type, without looking through containers."""
+    return (F.when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), "array")
+            .when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), "dict").otherwise(doc_type(v)))
+
+
 def _escaped(key: Column) -> Column:
     return F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
@@ -27,35 +33,38 @@ def doc_walk(df: DataFrame, id_col: str, v: str, *, max_depth: int | None = None
     Ordered by (visit, pos), nulls first, a container's values come together, and of its containers the last
     is opened first: the order in which a single thread with a stack of open containers meets them.
 
-    Levels are unions of lateral explodes; with max_depth no job runs before the result is used, without
-    it one small job a level asks whether containers are left. Values under pruned pointers are skipped.
+    Levels are a chain of explodes in one pass, without a shuffle; with max_depth no job runs before the result
+    is used, without it one small job a level asks whether containers are left. Values under pruned pointers are skipped.
     """
     none = F.lit(None)
-    level = df.filter(F.col(v).isNotNull()).select(
-        F.col(id_col).alias("id"), F.lit("/").alias("pointer"), F.lit("").alias("path"), none.cast("string").alias("parent_pointer"),
-        none.cast("string").alias("key"), none.cast("int").alias("idx"), F.lit(0).alias("depth"), F.col(v).alias("value"),
-        none.cast("array<int>").alias("visit"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("opened"))
-    level = level.withColumn("type", doc_type(F.col("value")))
-    found = level
+    root = F.struct(
+        F.lit("/").alias("pointer"), F.lit("").alias("path"), none.cast("string").alias("parent_pointer"), none.cast("string").alias("key"), none.cast("int").alias("idx"),
+        F.lit(0).alias("depth"), _type(F.col(v)).alias("type"), F.col(v).alias("value"), none.cast("array<int>").alias("visit"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("opened"))
+    rows = df.filter(F.col(v).isNotNull()).select(F.col(id_col).alias("id"), root.alias("node"))
+    n = F.col("node")
     for depth in range(1, MAX_DEPTH + 1):
         if max_depth is not None and depth > max_depth:
             break
-        inside = level.filter(F.col("type").isin("array", "dict"))
+        open_ = (n["depth"] == depth - 1) & n["type"].isin("array", "dict")
         if prune:
-            inside = inside.filter(~F.col("pointer").isin(*prune))
-        if max_depth is None and inside.isEmpty():
+            open_ = open_ & ~n["pointer"].isin(*prune)
+        if max_depth is None and rows.filter(open_).isEmpty():
             break
-        inside = inside.select("id", F.col("pointer").alias("up"), F.col("path").alias("up_path"), F.col("type").alias("up_type"), F.col("value").alias("up_value"), F.col("opened").alias("up_opened"))
-        inside = inside.lateralJoin(inside.sparkSession.tvf.variant_explode(F.col("up_value").outer()))
-        idx = F.when(F.col("up_type") == "array", F.col("pos").cast("int"))
-        step = F.coalesce(_escaped(F.col("key")), F.col("pos").cast("string"))
-        level = inside.select(
-            "id", F.concat(F.when(F.col("up") == "/", "").otherwise(F.col("up")), F.lit("/"), step).alias("pointer"), _path(F.col("up_path"), F.col("key"), idx).alias("path"),
-            F.col("up").alias("parent_pointer"), F.when(F.col("up_type") == "dict", F.col("key")).alias("key"), idx.alias("idx"), F.lit(depth).alias("depth"), "value",
-            F.col("up_opened").alias("visit"), F.col("pos").cast("int").alias("pos"), F.concat("up_opened", F.array(-F.col("pos").cast("int"))).alias("opened"))
-        level = level.withColumn("type", doc_type(F.col("value")))
-        found = found.unionByName(level)
-    return found.select("id", "pointer", "path", "parent_pointer", "key", "idx", "depth", "type", "value", "visit", "pos")
+
+        def child(key: Column, idx: Column, pos: Column, value: Column, depth: int = depth) -> Column:
+            step = F.coalesce(_escaped(key), pos.cast("string"))
+            return F.struct(
+                F.concat(F.when(n["pointer"] == "/", "").otherwise(n["pointer"]), F.lit("/"), step).alias("pointer"), _path(n["path"], key, idx).alias("path"), n["pointer"].alias("parent_pointer"),
+                key.alias("key"), idx.alias("idx"), F.lit(depth).alias("depth"), _type(value).alias("type"), value.alias("value"), n["opened"].alias("visit"), pos.alias("pos"),
+                F.concat(n["opened"], F.array(-pos)).alias("opened"))
+
+        entries = F.map_entries(F.try_variant_get(n["value"], "$", "map<string,variant>"))
+        items = F.try_variant_get(n["value"], "$", "array<variant>")
+        inside = (F.when(open_ & (n["type"] == "dict"), F.transform(entries, lambda e, i: child(e["key"], none.cast("int"), i, e["value"])))
+                  .when(open_, F.transform(items, lambda x, i: child(none.cast("string"), i, i, x))))
+        # a row stays, and its container's values come beside it: one pass over what was found so far
+        rows = rows.select("id", F.explode(F.concat(F.array(n), F.coalesce(inside, F.array()))).alias("node"))
+    return rows.select("id", *[n[c].alias(c) for c in ("pointer", "path", "parent_pointer", "key", "idx", "depth", "type", "value", "visit", "pos")])
 
 
 def diff_rows(old: DataFrame, new: DataFrame, id_col: str, v: str, *, max_depth: int | None = None) -> DataFrame:
