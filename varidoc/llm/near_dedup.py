@@ -4,10 +4,12 @@ A document's set holds 64-bit hashes of its distinct five-word shingles. One pas
 buckets of the hash range, the smallest hash as a 16-bit register: its leading zeros and the 10 bits after
 the leading one. Documents of equal sets form one class with one representative, so copies cost nothing
 further. Bands of four registers give candidates; a pair is dropped only if its collision-corrected
-Jaccard estimate is more than six standard errors below the threshold, and every link is confirmed on full
-sets. No bucket is expanded into pairs: first each member is compared with its bucket's leader, then only
-buckets that still hold several components are searched, in blocks, for pairs between components. Both
-steps together leave no candidate pair between different components unexamined. With 32 bands of four, a
+Jaccard estimate is more than 4.5 standard errors below the threshold, and every link is confirmed on full
+sets. No bucket is expanded into pairs: first each member is compared with its bucket's leader, then, where
+a bucket still holds several components, with its most central members, and only what is still apart after
+that is searched, in blocks, for pairs between components. Pairs are
+confirmed in rounds, the most similar first, and no longer once their ends have met in a component; no
+candidate pair between different components is left unexamined. With 32 bands of four, a
 pair at similarity 0.75 shares no band with probability 6e-6.
 
 Documents without words have empty sets and are linked with nothing. Fewer than five words make one
@@ -32,6 +34,16 @@ REGISTERS, BAND, MANTISSA = 128, 4, 10
 PERCENT = 75
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2048
+#: Standard errors by which an estimate may miss the threshold: a pair at it is lost with probability 3e-6.
+ERRORS = 4.5
+#: Least hashes of a set that a task compares sets by; smaller sets are compared whole.
+SAMPLE = 512
+#: Members of a bucket that are all compared with each other at once.
+SMALL = 6
+#: Central members of a bucket that its others are compared with.
+LEADERS = 3
+#: Most similar candidates of a node that are confirmed in the first round.
+TRIES = 2
 CACHE_WORDS = 1_000_000
 
 _U = np.uint64
@@ -51,9 +63,8 @@ def shingle_set(text: str | None) -> np.ndarray:
     known = _word_hashes
     if len(known) > CACHE_WORDS:
         known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     n = min(WORDS, len(h))
     if not n:
@@ -99,12 +110,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     same = ((a == b) & (a != 0)).sum(axis=1) - expected_collisions(n_a, n_b)
     used = ((a != 0) | (b != 0)).sum(axis=1)
     j = PERCENT / 100
-    possible = same >= j * used - 6 * np.sqrt(used * j * (1 - j)) - 1
+    possible = same >= j * used - ERRORS * np.sqrt(used * j * (1 - j)) - 1
     sized = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
     return same / np.maximum(used, 1), possible & sized
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
 
 
@@ -161,11 +172,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, j double")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (a, b) those whose full sets reach the threshold. Sets are made anew from whole texts."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = classes.select("node", F.col("doc_id").alias("_id")).join(needed, "node")
-    texts = written(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text"), "dedup-texts")
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
 
@@ -217,41 +225,146 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _between(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of members of one bucket but different components, by register estimate.
+def _samples(texts: DataFrame) -> DataFrame:
+    """node and the high halves of its SAMPLE least hashes, in order."""
 
-    Buckets of one component need no work. A bucket of many members is cut into blocks; every two blocks
-    meet in one task, which compares registers of similar set sizes and returns the possible pairs only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(shingle_set(t)[:SAMPLE] >> _U(32)).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "sample"])
+
+    return texts.mapInArrow(run, "node long, sample binary")
+
+
+def sampled(own: np.ndarray, n: int, others: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Which of the others may reach the threshold with a set, by samples: exactly where both sets are whole
+    in their samples, else among the hashes that lie in the range of both."""
+    if not others:
+        return np.zeros(0, bool)
+    everything = np.iinfo(np.uint32).max
+    top = np.array([o[-1] if k > SAMPLE else everything for o, k in zip(others, sizes)], dtype=np.uint32)
+    top = np.minimum(top, own[-1] if n > SAMPLE else everything)
+    flat, lengths = np.concatenate(others), np.array([*map(len, others)])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    inside = flat <= np.repeat(top, lengths)
+    met = (own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat) & inside
+    both = np.add.reduceat(met.astype(np.int64), starts)
+    union = np.add.reduceat(inside.astype(np.int64), starts) + np.searchsorted(own, top, side="right") - both
+    j = PERCENT / 100
+    partial = (sizes > SAMPLE) | (n > SAMPLE)
+    return both >= j * union - np.where(partial, ERRORS * np.sqrt(union * j * (1 - j)) + 1, 1e-9)
+
+
+def _resolve(pairs: DataFrame, texts: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """Confirms pairs (a, b, j) until none that is left lies between two components: in each round the most
+    similar few of every node that still lie between components, four times as many each round. Returns the
+    labels (node, component) of all nodes that have a link."""
+    tries, left = TRIES, pairs
+    while True:
+        if labels is not None:
+            side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+            left = left.join(side("a"), "a", "left").join(side("b"), "b", "left")
+            left = left.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "j")
+        order = Window.partitionBy("a").orderBy(F.desc("j"), "b")
+        left = written(left.withColumn("i", F.row_number().over(order)), "dedup-open")
+        if left.isEmpty():
+            return labels
+        links = written(_confirmed(left.filter(F.col("i") <= tries), texts), "dedup-links")
+        if not links.isEmpty():
+            labels = _joined(links, labels)
+        left = left.filter(F.col("i") > tries).select("a", "b", "j")
+        tries *= 4
+
+
+def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """labels with new links: components of the graph whose nodes are the components so far."""
+    if labels is None:
+        return written(components(links), "dedup-labels")
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    joined = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    moved = components(joined.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
+    moved = written(moved.select(F.col("node").alias("old"), F.col("component").alias("new")), "dedup-moved")
+    kept = labels.join(moved, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    fresh = moved.join(labels.select("component").distinct(), F.col("old") == F.col("component"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return written(kept.unionByName(fresh), "dedup-labels")
+
+
+def _undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (band, key, node, component, n, block) of buckets that hold several components."""
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    mixed = mixed.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("band", "key", "blocks")
+    mixed = mixed.select("band", "key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = named.select("band", "key", "node", "component").join(mixed, ["band", "key"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _central(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of a bucket of several components with its most central ones: copies of
+    a text differ less from it than from each other, so it shares most registers with all others. Blocks
+    propose members, a bucket keeps the best LEADERS of them. In a bucket of SMALL members each is compared
+    with each. Either way pairs grow with members only."""
+    every = _undecided(members, labels)
+    few = every.filter(F.col("n") <= SMALL)
+    rows = every.filter(F.col("n") > SMALL)
+    mates = few.select("band", "key", F.col("node").alias("a"), F.col("component").alias("c_a")).join(few.select("band", "key", F.col("node").alias("b"), F.col("component").alias("c_b")), ["band", "key"])
+    mates = mates.filter("a < b and c_a <> c_b").select("a", "b")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        regs = _matrix(table.column("registers"))
+        if len(regs) <= 128:  # registers shared with all members, summed
+            score = ((regs[:, None] == regs[None]) & (regs[:, None] != 0)).sum(axis=(1, 2))
+        else:
+            score = sum(np.where(c != 0, np.bincount(c)[c], 0) for c in regs.T)
+        at = np.argsort(-score, kind="stable")[:LEADERS]
+        return table.select(["band", "key", "node"]).take(pa.array(at)).append_column("score", pa.array(score[at]))
+
+    own = rows.select("band", "key", "block", "node").join(classes.select("node", "registers"), "node")
+    proposed = own.groupBy("band", "key", "block").applyInArrow(run, "band byte, key long, node long, score long")
+    best = Window.partitionBy("band", "key").orderBy(F.desc("score"), "node")
+    leaders = proposed.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= LEADERS).select("band", "key", F.col("node").alias("b"))
+    return rows.select("band", "key", F.col("node").alias("a")).join(leaders, ["band", "key"]).filter("a <> b").select("a", "b").unionByName(mates).distinct()
+
+
+def _between(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b, j) of members of one bucket but different components.
+
+    Buckets of one component need no work. A bucket of many members is cut into blocks; every two blocks
+    meet in one task, which compares registers, then samples of the sets, and returns pairs that are links or
+    very nearly so, each pair in the first band that it shares."""
+    rows = _undecided(members, labels).filter(F.col("n") > SMALL).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-    rows = rows.select("band", "key", "p", "q", "node", "component").join(classes.select("node", "n_shingles", "registers"), "node")
+    rows = rows.select("band", "key", "p", "q", "block", "node", "component").join(classes.select("node", "n_shingles", "registers"), "node").join(_samples(texts), "node")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("n_shingles", "ascending"), ("node", "ascending")])
-        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
-        node, comp, n = (np.asarray(table.column(c).to_numpy()) for c in ("node", "component", "n_shingles"))
-        a, b = [], []
+        regs = _matrix(table.column("registers"))
+        keys = regs.view("<i8")
+        node, comp, n, block = (np.asarray(table.column(c).to_numpy()) for c in ("node", "component", "n_shingles", "block"))
+        samples = [np.frombuffer(x, dtype="<u4") for x in table.column("sample").to_pylist()]
+        p, q, band = (table.column(c)[0].as_py() for c in ("p", "q", "band"))
+        a, b, js = [node[:0]], [node[:0]], [np.zeros(0)]
         for i in range(len(node)):
             end = np.searchsorted(n, n[i] * 100 // PERCENT, side="right")
-            at = np.flatnonzero(comp[i + 1 : end] != comp[i]) + i + 1
-            for part in np.array_split(at, max(1, len(at) // 4096)):
-                if len(part):
-                    _, ok = estimate(np.broadcast_to(regs[i], (len(part), REGISTERS)), regs[part], np.full(len(part), n[i]), n[part])
-                    b.append(node[part[ok]])
-                    a.append(np.full(int(ok.sum()), node[i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return rows.groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long").distinct()
+            at = np.flatnonzero((comp[i + 1 : end] != comp[i]) & ((p == q) | (block[i + 1 : end] != block[i]))) + i + 1
+            for part in np.array_split(at, len(at) // 4096 + 1):
+                # a pair that shares an earlier band is another task's
+                part = part[~((keys[part, :band] == keys[i, :band]) & (keys[i, :band] != 0)).any(axis=1)]
+                j, ok = estimate(np.broadcast_to(regs[i], (len(part), REGISTERS)), regs[part], np.full(len(part), n[i]), n[part])
+                part, j = part[ok], j[ok]
+                ok = sampled(samples[i], n[i], [samples[x] for x in part], n[part])
+                b.append(node[part[ok]])
+                a.append(np.full(int(ok.sum()), node[i]))
+                js.append(j[ok])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "j": np.concatenate(js)})
+
+    return rows.groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long, j double")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id of the group), kept, for every row of docs."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketch = written(sketches(docs), "dedup-sketches")
     classes = sketch.filter("n_shingles > 0").groupBy("node", "twin").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
@@ -262,18 +375,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("n"), leader.alias("leader")).filter("n > 1").select("band", "key", "leader")
     members = written(bands.join(shared, ["band", "key"]), "dedup-members")
 
+    ids = members.select("node").distinct().join(classes.select("node", F.col("doc_id").alias("_id")), "node")
+    texts = written(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text"), "dedup-texts")
+
     pairs = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    likely = _estimated(pairs, classes)
-    best = Window.partitionBy("a").orderBy(F.desc("j"), "b")
-    tried = written(likely.withColumn("i", F.row_number().over(best)).filter("i = 1").select("a", "b"), "dedup-tried")
-    links = written(_confirmed(tried, classes, docs), "dedup-links")
-    labels = components(links)
-
-    rest = _between(members, labels, classes)
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(done, ["a", "b"], "left_anti"), "dedup-rest")
-    more = written(_confirmed(rest, classes, docs), "dedup-more")
-    labels = components(links.unionByName(more))
+    stars = written(_estimated(pairs, classes), "dedup-stars")
+    labels = _resolve(stars, texts, None)
+    named = members.select("band", "key", "node")
+    none = spark.createDataFrame([], "node long, component long")
+    way = lambda df: df.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    untried = lambda df, done: df.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(done, ["lo", "hi"], "left_anti").drop("lo", "hi")
+    done = way(stars)
+    central = untried(_central(named, none if labels is None else labels, classes), done)  # a: member, b: leader
+    central = written(_estimated(central, classes), "dedup-central")
+    labels = _resolve(central, texts, labels)
+    # Pairs with leaders are settled; what may still join components are pairs of other members.
+    rest = _between(named, none if labels is None else labels, classes, texts)
+    labels = _resolve(untried(rest, done.unionByName(way(central))), texts, labels)
+    if labels is None:
+        labels = none
 
     grouped = classes.select("node", "twin", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
