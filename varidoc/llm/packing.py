@@ -156,9 +156,11 @@ def plan(counts: np.ndarray, bins: int, depth: int) -> tuple[np.ndarray, np.ndar
     x = nnls(a * weight[:, None], counts * weight)
     used = np.flatnonzero(x >= 1)
     repeat, a = np.floor(x[used] + 1e-9), a[:, used]
-    for b in np.flatnonzero(a @ repeat > counts):  # never more slots of a bin than it has documents
-        over = a[b] > 0
-        repeat[over] = np.floor(repeat[over] * counts[b] / (a[b] @ repeat))
+    for b in range(bins):  # never more slots of a bin than it has documents
+        slots = a[b] @ repeat
+        if slots > counts[b]:
+            over = a[b] > 0
+            repeat[over] = np.floor(repeat[over] * counts[b] / slots)
     rows, times = [*a.T.astype(int)], [*repeat.astype(int)]
     left = (counts - a @ repeat).astype(int)
     while left.any():
