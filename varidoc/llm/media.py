@@ -30,6 +30,8 @@ from .common import written
 #: Samples in a row of a stored greymap, and so the unit of its payload.
 WIDTH = 64
 SCHEME = "sha256:"
+#: Rows that a Python worker turns into pages or payloads at once.
+SLICE = 200
 ITEM = "struct<position: int, kind: string, text: string, digest: string, caption: string, text_offset: long>"
 #: Tags whose ends and beginnings part texts, and tags that refer to media.
 BLOCKS = frozenset("p div li ul ol table tr td th h1 h2 h3 h4 h5 h6 br article section header footer nav aside figure figcaption blockquote pre main title body html head".split())
@@ -94,6 +96,11 @@ class _Sequence(HTMLParser):
             self.words.append(data)
 
 
+def _slices(batch):
+    """A batch in parts of SLICE rows, so that few copies of long texts are in memory at once."""
+    return [batch.slice(i, SLICE) for i in range(0, len(batch), SLICE)]
+
+
 def parse(page: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(page or "")
@@ -106,11 +113,9 @@ def sequences(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "htm
     """id, the columns to keep, and items, in page order."""
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("text_offset", pa.int64())]))
 
-    def run(batch: pa.Array) -> pa.Array:
-        return pa.array([parse(p) for p in batch.to_pylist()], kind)
-
     def batches(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from map(run, it)
+        for batch in it:
+            yield pa.concat_arrays([pa.array([parse(p) for p in part.to_pylist()], kind) for part in _slices(batch)] or [pa.array([], kind)])
 
     return pages.select(id_col, *keep, F.arrow_udf(batches, f"array<{ITEM}>")(F.col(html_col)).alias("items"))
 
@@ -139,7 +144,7 @@ def measures(store: DataFrame) -> DataFrame:
     """For each stored digest: sizes, digests and features of the samples read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             rows = []
             for name, stored in zip(batch.column("digest").to_pylist(), batch.column("media").to_pylist()):
                 payload = samples(stored)
@@ -168,35 +173,33 @@ def resolve(found: DataFrame, store: DataFrame, *, id_col: str = "page_id", keep
 def stored(docs: DataFrame) -> DataFrame:
     """digest and media (the stored form) of every document's payload, written to the shared folder."""
 
-    def run(batch: pa.Array) -> pa.Array:
-        payloads = [*map(payload_of, batch.to_pylist())]
-        names = pa.array([hashlib.sha256(p).hexdigest() for p in payloads])
-        return pa.StructArray.from_arrays([names, pa.array([*map(greymap, payloads)], pa.binary())], ["digest", "media"])
-
-    def batches(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from map(run, it)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch.column("text")):
+                payloads = [*map(payload_of, part.to_pylist())]
+                names = pa.array([hashlib.sha256(p).hexdigest() for p in payloads])
+                yield pa.RecordBatch.from_arrays([names, pa.array([*map(greymap, payloads)], pa.binary())], ["digest", "media"])
 
-    made = F.arrow_udf(batches, "digest string, media binary")(F.col("text"))
-    return written(docs.select(made.alias("m")).select("m.digest", "m.media"), "media-store")
+    return written(docs.select("text").mapInArrow(run, "digest string, media binary"), "media-store")
 
 
 def as_pages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and html: each document as a page of its text, then its payload as a captioned figure."""
 
-    def run(batch: pa.Array) -> pa.Array:
-        pages, sizes = [], []
-        for text in batch.to_pylist():
-            payload, n = payload_of(text), len((text or "").encode("utf-8", "surrogatepass"))
-            figure = f'<figure><img src="{SCHEME}{hashlib.sha256(payload).hexdigest()}" alt=""><figcaption>{n} bytes</figcaption></figure>'
-            pages.append(f"<article><p>{html.escape(text or '')}</p>{figure}</article>")
-            sizes.append(n)
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(pages, pa.string())], ["n_bytes", "html"])
-
-    def batches(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from map(run, it)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    made = F.arrow_udf(batches, "n_bytes long, html string")(F.col("text"))
-    return docs.select("doc_id", made.alias("m")).select("doc_id", "m.n_bytes", "m.html")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                pages, sizes = [], []
+                for text in part.column("text").to_pylist():
+                    payload, n = payload_of(text), len((text or "").encode("utf-8", "surrogatepass"))
+                    figure = f'<figure><img src="{SCHEME}{hashlib.sha256(payload).hexdigest()}" alt=""><figcaption>{n} bytes</figcaption></figure>'
+                    pages.append(f"<article><p>{html.escape(text or '')}</p>{figure}</article>")
+                    sizes.append(n)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(pages, pa.string())], ["doc_id", "n_bytes", "html"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_bytes long, html string")
 
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
