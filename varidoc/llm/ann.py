@@ -8,8 +8,8 @@ double precision. The number of parts probed is the least that finds `recall` of
 neighbours among held-out sample queries.
 
 At most `sample_rows` rows are fitted on (those of smallest hash), a documented bound; every row is indexed.
-Parts are cut into blocks by a hash, so a part that holds a third of the rows, or one vector many times, is
-searched by many tasks; a block returns its best k for each query. The measure is the inner product. Vectors
+Parts are searched in groups, and groups cut into blocks by a hash, so a part that holds a third of the rows, or
+one vector many times, is searched by many tasks; a block returns its best k for each query. The measure is the inner product. Vectors
 that are null, zero, hold null or non-finite components, or differ in length from the most common one take
 no part. A query's own row is excluded by its id; ties go to the smaller id.
 """
@@ -29,6 +29,8 @@ from .common import written
 SAMPLE_ROWS = 6000
 #: Rows of a part, about, and rows of a block of it.
 PART_ROWS, BLOCK_ROWS = 1000, 20_000
+#: Rows of the parts that are searched together, about.
+GROUP_ROWS = 10_000
 NEIGHBOURS = 20
 RECALL = 0.97
 
@@ -170,9 +172,13 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, sample_rows: i
         return F.arrow_udf(run, "array<int>")
 
     index = written(good.withColumn("part", F.explode(placed(False)("embedding"))), "ann-index")
-    sizes = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # a row for each part
-    index = index.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = good.filter(is_query).withColumn("part", F.explode(placed(True)("embedding"))).join(F.broadcast(sizes), "part")
+    # Several parts share a group, so that the answers of a query do not grow with its parts.
+    groups = max(1, -(-rows // GROUP_ROWS))
+    index = index.withColumn("group", F.col("part") % groups)
+    sizes = index.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # a row for each group
+    index = index.join(F.broadcast(sizes), "group").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    asked = good.filter(is_query).withColumn("probes", placed(True)("embedding"))
+    asked = asked.withColumn("group", F.explode(F.array_distinct(F.transform("probes", lambda p: p % groups)))).join(F.broadcast(sizes), "group")
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
@@ -180,14 +186,17 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, sample_rows: i
         if not queries.num_rows or not candidates.num_rows:
             return empty
         candidates = candidates.sort_by("vec_id")
-        ids = candidates.column("vec_id").to_numpy()
+        ids, part = candidates.column("vec_id").to_numpy(), candidates.column("part").to_numpy()
+        probes = queries.column("probes").to_pylist()
         wide = lambda t: np.asarray(t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(t.num_rows, -1)
         c, q, q_ids = wide(candidates), wide(queries), queries.column("vec_id").to_numpy()
         got_q, got_c, got_s = [], [], []
         for a in range(0, len(q), 64):
             scores = q[a : a + 64] @ c.T
             for i, s in enumerate(scores):
-                s[ids == q_ids[a + i]] = -np.inf
+                open_ = np.zeros(part.max() + 1, dtype=bool)
+                open_[[p for p in probes[a + i] if p < len(open_)]] = True
+                s[~open_[part] | (ids == q_ids[a + i])] = -np.inf
                 n = min(k, len(s))
                 least = np.partition(s, len(s) - n)[len(s) - n]
                 at = np.flatnonzero(s >= least)  # in the order of ids, so a stable sort settles ties
@@ -198,8 +207,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, sample_rows: i
                 got_s.append(s[at])
         return pa.table({"query_id": np.concatenate(got_q), "vec_id": np.concatenate(got_c), "score": np.concatenate(got_s)})
 
-    found = asked.select("part", "block", "vec_id", "embedding").groupBy("part", "block").cogroup(
-        index.select("part", "block", "vec_id", "embedding").groupBy("part", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = asked.select("group", "block", "vec_id", "embedding", "probes").groupBy("group", "block").cogroup(
+        index.select("group", "block", "vec_id", "embedding", "part").groupBy("group", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
