@@ -223,14 +223,16 @@ def test_stored_form(data):
 
 def test_media(spark, odd, empty):
     docs = odd.select("doc_id", "text")
-    got = media.resolve(media.sequences(media.as_pages(docs), id_col="doc_id", keep=["n_bytes"]), media.stored(docs), id_col="doc_id", keep=["n_bytes"]).collect()
+    got = media.resolve(media.references(media.as_pages(docs), id_col="doc_id", keep=["n_bytes"]), media.stored(docs)).collect()
     want = []
     for r in docs.collect():
         p = media.payload_of(r["text"])
         want.append((str(r["doc_id"]), len((r["text"] or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), f"{len((r['text'] or '').encode())} bytes", len(r["text"]) if (r["text"] or "").strip() else 0))
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["caption"], r["text_offset"]) for r in got) == sorted(want)
     assert media.sequences(media.as_pages(empty.select("doc_id", "text")), id_col="doc_id").count() == 0
-    lost = media.resolve(media.sequences(media.as_pages(docs), id_col="doc_id"), media.stored(docs.limit(0)), id_col="doc_id")
+    whole = {r["doc_id"]: r["items"] for r in media.sequences(media.as_pages(docs), id_col="doc_id").collect()}
+    assert all([i["kind"] for i in x] in (["text", "image"], ["image"]) for x in whole.values())
+    lost = media.resolve(media.references(media.as_pages(docs), id_col="doc_id"), media.stored(docs.limit(0)))
     assert lost.count() == odd.count() and lost.filter("feature is not null").count() == 0
 
 

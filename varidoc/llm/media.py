@@ -163,10 +163,26 @@ def measures(store: DataFrame) -> DataFrame:
     return store.mapInArrow(run, schema).dropDuplicates(["digest"])
 
 
-def resolve(found: DataFrame, store: DataFrame, *, id_col: str = "page_id", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
-    """id, position, caption, text_offset, digest of every media reference, with the measures of its payload."""
-    refs = found.select(id_col, *keep, F.explode("items").alias("item")).filter("item.kind <> 'text'")
-    refs = refs.select(id_col, *keep, "item.position", "item.kind", "item.caption", "item.text_offset", "item.digest")
+def references(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """id, the columns to keep, and position, kind, caption, text_offset, digest of every media reference.
+
+    The same parse as sequences(), without carrying the texts along."""
+    fields = [id_col, *keep]
+    own = {"position": pa.int32(), "kind": pa.string(), "caption": pa.string(), "text_offset": pa.int64(), "digest": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                found = [(i, item) for i, page in enumerate(part.column(html_col).to_pylist()) for item in parse(page) if item["kind"] != "text"]
+                row = pa.array([i for i, _ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[part.column(f).take(row) for f in fields], *[pa.array([item[c] for _, item in found], t) for c, t in own.items()]], [*fields, *own])
+
+    schema = ", ".join([*[f"`{f}` {pages.schema[f].dataType.simpleString()}" for f in fields], "position int, kind string, caption string, text_offset long, digest string"])
+    return pages.select(*fields, html_col).mapInArrow(run, schema)
+
+
+def resolve(refs: DataFrame, store: DataFrame) -> DataFrame:
+    """refs with the measures of their payloads; null where the store does not have one."""
     return refs.join(measures(store), "digest", "left")
 
 
@@ -204,6 +220,5 @@ def as_pages(docs: DataFrame) -> DataFrame:
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = sequences(as_pages(docs), id_col="doc_id", keep=["n_bytes"])
-    got = resolve(found, stored(docs), id_col="doc_id", keep=["n_bytes"])
+    got = resolve(references(as_pages(docs), id_col="doc_id", keep=["n_bytes"]), stored(docs))
     return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "text_offset")
