@@ -51,6 +51,49 @@ def test_prefix_table(odd):
         assert [*np.cumsum(np.frombuffer(r["steps"], dtype=np.int8))] == [len(ids(text[:i])) for i in range(1, len(text) + 1)]
 
 
+LONG = {
+    "apostrophe": "漢字仮名交じり" * 200 + "'" + "文を書く" * 200,
+    "thai": "ภาษาไทยเขียนติดกันไม่เว้นวรรคที่นี่ก็ดีมาก" * 60,
+    "decomposed": "Zu\u0308richE\u0301te\u0301" * 200,
+    "special": "abc<|endoftext|>x'll<|endoftex" * 90 + "we're'st''s!'re",
+    "jamo": "\u1112\u1161\u11ab\u1100\u116e\u11a8" * 400,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_every_prefix_of_long_odd_chunks(name):
+    text = LONG[name]
+    assert len(text) > 2000 and not any(map(str.isspace, text))
+    got = COUNTER.counts(text)
+    at = [*range(0, 60), *range(60, len(text), 37), *range(len(text) - 40, len(text) + 1)]
+    assert [got[i] for i in at] == [len(ids(text[:i])) for i in at]
+
+
+def test_longest_prefix_of_long_odd_chunks(spark):
+    df = spark.createDataFrame([*LONG.items()], "doc_id string, text string")
+    for r in tc.token_counts(df, budget=500).collect():
+        text = LONG[r["doc_id"]]
+        want = max(i for i in range(len(text) + 1) if (i < 1000 or i % 7 == 0 or abs(i - r["fits_chars"]) < 9) and len(ids(text[:i])) <= 500)
+        assert r["fits_chars"] == want
+    for r in tc.prefix_table(df).collect():
+        counts = np.cumsum(np.frombuffer(r["steps"], dtype=f"<i{r['width']}"))
+        assert counts[-1] == len(ids(LONG[r["doc_id"]])) and counts[998] == len(ids(LONG[r["doc_id"]][:999]))
+
+
+@pytest.mark.parametrize("step", [127, 128, -128, -129, 40_000, 1 << 40])
+def test_wide_steps(step):
+    steps, width = tc.steps_of(np.array([0, 300_000, 300_000 + step, 300_000]))
+    assert [*np.frombuffer(steps, dtype=f"<i{width}")] == [300_000, step, -step]
+    assert tc.steps_of(np.array([0, step, step]))[1] == (1 if -128 <= step <= 127 else 2 if abs(step) < 32768 else 4 if abs(step) < 1 << 31 else 8)
+    assert tc.steps_of(np.zeros(1, np.int64)) == (b"", 1)
+
+
+@given(st.text(st.sampled_from("'s'r'evtlmdaé e\u0301\u0323\u0344\u0f73\u0bc6\u0bbe\u1112\u1161\u11ab한İΣ5９!<|endoftext>\x1c\u3000漢ก็ีู่"), max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_every_prefix_of_odd_chunks(text):
+    assert [*COUNTER.counts(text)] == [len(ids(text[:i])) for i in range(len(text) + 1)]
+
+
 def check_pieces(docs, pieces, window):
     """Every row's ids lie in one piece each; sequences are gapless and not too long."""
     want = defaultdict(int)

@@ -4,7 +4,9 @@ For byte-pair encoding, the tokens before the last one are the encoding of what
 encoding of each prefix is known from one back-pointer, its last token: the one vocabulary entry that
 ends there and that the last token of the rest does not merge across. The count at a prefix is the count
 at the rest plus one. White space always parts the tokenizer's words, so a text's counts are the running
-sum of its chunks' profiles, and a profile is computed once for each distinct chunk a worker meets.
+sum of its chunks' profiles, and a profile is computed once for each distinct chunk a worker meets. Chunks
+with contractions, special tokens or characters that combine take the same steps over normalised text, whatever
+their length.
 
 Null texts count as empty; an empty text has no tokens; very long texts are handled whole, since the
 work is a running sum over chunks.
@@ -12,6 +14,7 @@ work is a running sum over chunks.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import unicodedata
@@ -29,6 +32,9 @@ CACHE_CHUNKS = 1_000_000
 #: Separators that Python splits at and the tokenizer does not.
 _CONTROL = regex.compile("[\x1c-\x1f]")
 _PRETOKEN = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_SPACE, _LETTER, _NUMBER = regex.compile(r"\p{White_Space}"), regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+#: Endings that the tokenizer takes as words where a word begins by the apostrophe.
+_CONTRACTIONS = frozenset(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"])
 _SAFE_SPLIT = regex.compile("[ \t\n\r\x0b\x0c]+")
 
 
@@ -58,6 +64,87 @@ def _packed(counts) -> bytes | tuple[int, ...]:
     return bytes(counts) if max(counts) < 256 else tuple(counts)
 
 
+@functools.cache
+def _seconds() -> frozenset[str]:
+    """Characters that may compose with the one before them, vowels and finals of Hangul among them."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    return frozenset([chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"] + [*map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))])
+
+
+@functools.lru_cache(1 << 16)
+def _joins(c: str) -> bool:
+    """Whether c may change how what stands before it is normalised."""
+    first = unicodedata.normalize("NFD", c)[0]
+    return unicodedata.combining(first) != 0 or first in _seconds()
+
+
+@functools.lru_cache(1 << 16)
+def _kind(c: str) -> str:
+    return "S" if _SPACE.match(c) else "L" if _LETTER.match(c) else "N" if _NUMBER.match(c) else "P"
+
+
+class _OpenWords:
+    """Normalised text put character by character, with the count of what is there; the end can be cut off.
+
+    A state holds the tokens before the open word, where that begins, its kind, how far it may be on the way
+    to a contraction, the symbols put so far, and the count."""
+
+    def __init__(self, counter: PrefixCounter):
+        self.counter = counter
+        self.text: list[str] = []
+        self.states: list[tuple[int, int, str, str, int, int]] = [(0, 0, "", "", 0, 0)]
+        self.symbols: list[str] = []
+        self.last, self.inner = [""], [0]  # as in word_profile, of the open word
+
+    def cut(self, length: int) -> None:
+        if length == len(self.text):
+            return
+        del self.text[length:], self.states[length + 1 :]
+        size = self.states[-1][4]
+        del self.symbols[size:], self.last[size + 1 :], self.inner[size + 1 :]
+
+    def put(self, c: str) -> None:
+        base, start, kind, mark, size, count = self.states[-1]
+        self.text.append(c)
+        new = _kind(c)
+        if new == "S":
+            self.states.append((count, size, new, "", size, count))
+            return
+        if mark and mark + c in _CONTRACTIONS:
+            count = self.states[-len(mark)][0] + self.counter.word_profile(mark + c)[-1]
+            self.states.append((count, size, "C", "", size, count))
+            return
+        mark = mark + c if mark == "'" and c in "rvl" else ""
+        if new != kind or new == "N":
+            base, start = count, size
+            if c == "'":
+                mark = c
+        closed = 0
+        for b in c.encode("utf-8"):
+            closed = self._symbol(self.counter.symbols[b], start)
+        self.states.append((base, start, new, mark, len(self.symbols), base + closed))
+
+    def _symbol(self, symbol: str, start: int) -> int:
+        """Puts one symbol; the count of the open word if it ends here."""
+        c, last, inner = self.counter, self.last, self.inner
+        self.symbols.append(symbol)
+        low = max(start, len(self.symbols) - c.longest)
+        tail = "".join(self.symbols[low:])
+        here, count, closed = "", 0, 0
+        for j in range(low, low + len(tail)):
+            token = tail[j - low :]
+            ended = c.closing.get(token)
+            if ended is None:
+                continue
+            if not here and token in c.vocab and (j == start or c.compatible(last[j], token)):
+                here, count = token, (inner[j] if j > start else 0) + 1
+            if ended and not closed and (j == start or c.compatible(last[j], ended)):
+                closed = (inner[j] if j > start else 0) + 1
+        last.append(here)
+        inner.append(count)
+        return closed
+
+
 class PrefixCounter:
     """Token counts of every prefix of chunks, for a BPE with a word-end suffix."""
 
@@ -76,6 +163,8 @@ class PrefixCounter:
         self.closing = {t.removesuffix(self.end)[:i]: "" for t in self.vocab for i in range(1, len(t) + 1)}
         self.closing |= {t.removesuffix(self.end): t for t in self.vocab if t.endswith(self.end)}
         self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.special = regex.compile("|".join(map(regex.escape, self.specials)) or r"(?!)")
+        self.longest = max(map(len, self.closing))
         self.symbols = byte_symbols()
         self.together: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes | tuple[int, ...]] = {}
@@ -171,18 +260,49 @@ class PrefixCounter:
                     base = known[-1]
             plain = len(known) == len(chunk)
         if not plain:
-            heads = [chunk[:i] for i in range(1, len(chunk) + 1)] if len(chunk) <= 2000 else None
-            if heads is None:  # one huge odd chunk: positions are exact at its end and at every 1000 characters
-                marks = [*range(1000, len(chunk), 1000), len(chunk)]
-                got = [len(self.library.encode(chunk[:m], add_special_tokens=False).ids) for m in marks]
-                known = [got[min(i // 1000, len(got) - 1)] for i in range(len(chunk))]
-            else:
-                known = [len(e.ids) for e in self.library.encode_batch_fast(heads, add_special_tokens=False)]
+            known = self.odd_profile(chunk)
         if len(self.chunks) > CACHE_CHUNKS:
             self.chunks.clear()
         known = self.chunks[chunk] = _packed(known)
         return known
 
+    def odd_profile(self, chunk: str) -> list[int]:
+        """Counts at every prefix of a chunk of any characters. A special token counts from its last character on."""
+        out: list[int] = []
+        at = base = 0
+        for special in self.special.finditer(chunk):
+            counts = self.piece_profile(chunk[at : special.end()])
+            out += [base + c for c in counts]
+            base += (counts[special.start() - at - 1] if special.start() > at else 0) + 1
+            out[-1] = base
+            at = special.end()
+        return out + [base + c for c in self.piece_profile(chunk[at:])]
+
+    def piece_profile(self, piece: str) -> list[int]:
+        """Counts at every prefix of a piece without special tokens.
+
+        What a prefix is normalised to differs from the next one's in its last combining sequence only, so
+        that sequence is taken back from the open words and put again."""
+        words, out = _OpenWords(self), []
+        begin = fixed = 0  # of the last combining sequence: in the piece and in the normalised text
+        for i, c in enumerate(piece):
+            if c < "\x80" or not _joins(c):
+                begin, fixed = i, len(words.text)
+            if begin == i and c < "\x80":
+                words.put(c.lower())
+            else:
+                put = self.library.normalizer.normalize_str(piece[begin : i + 1])
+                same = 0
+                for x, y in zip(itertools.islice(words.text, fixed, None), put):
+                    if x != y:
+                        break
+                    same += 1
+                words.cut(fixed + same)
+                for x in put[same:]:
+                    words.put(x)
+            out.append(words.states[-1][-1])
+        return out
+
     def count(self, text: str) -> int:
         return sum(self.totals(chunks_of(text)))
 
@@ -252,9 +372,17 @@ def token_counts(docs: DataFrame, *, budget: int = 2048, path: str | None = None
     return rows.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long, fits_chars long")
 
 
+def steps_of(counts: np.ndarray) -> tuple[bytes, int]:
+    """The steps between counts, in the least width (bytes) that holds them all, and that width."""
+    steps = np.diff(counts)
+    width = next(w for w in (1, 2, 4, 8) if not len(steps) or max(-1 - steps.min(), steps.max()) < 1 << (8 * w - 1))
+    return steps.astype(f"<i{width}").tobytes(), width
+
+
 def prefix_table(docs: DataFrame, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and steps: the increase of the token count at each character (a byte each, signed), from which
-    every prefix's exact count is a sum. It answers later budget questions without the tokenizer."""
+    """id, steps and width: the increase of the token count at each character (signed, little-endian, width
+    bytes each: one, or as many as the document's largest step needs), from which every prefix's exact count is
+    a sum. It answers later budget questions without the tokenizer."""
     path = path or tokenizer_path()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -262,10 +390,11 @@ def prefix_table(docs: DataFrame, *, path: str | None = None, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
-            steps = [np.diff(c.counts(t)).astype(np.int8).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(steps, pa.binary())], ["doc_id", "steps"])
+            made = [steps_of(c.counts(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([s for s, _ in made], pa.binary()), pa.array([w for _, w in made], pa.int32())], ["doc_id", "steps", "width"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, steps binary")
+    return rows.mapInArrow(run, f"doc_id {id_type}, steps binary, width int")
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
