@@ -60,6 +60,30 @@ def test_groups_of_copies(spark, seed):
     assert found(df) == brute(rows)
 
 
+def test_null_and_repeated_ids(spark):
+    """Copies, other texts and empty ones under null ids and one repeated id: ids say nothing of texts."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for _ in range(4):
+        base = [word() for _ in range(60)]
+        for _ in range(9):
+            text = [w if rng.random() > 0.02 else word() for w in base]
+            rows += [(None, " ".join(text)), (None, ""), (7, " ".join(text).upper()), (7, None), (100 + len(rows), " ".join(text[:-1]))]
+    rows += [(None, " ".join(word() for _ in range(40))) for _ in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = nd.near_duplicates(df).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in out) == brute(rows)
+
+
+def test_one_text_a_set(spark):
+    """Texts are fetched once for each set, however many rows share its null id."""
+    rows = [(None, f"{g} a b c d e f") for g in range(5) for _ in range(20)] + [(None, "")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = nd.sketches(df).filter("n_shingles > 0").select("node", "twin").distinct()
+    assert sorted(r["text"] for r in nd._texts(df, sets).collect()) == [f"{g} a b c d e f" for g in range(5)]
+
+
 def test_small_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert found(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])

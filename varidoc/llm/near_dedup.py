@@ -14,7 +14,7 @@ pair at similarity 0.75 shares no band with probability 6e-6.
 
 Documents without words have empty sets and are linked with nothing. Fewer than five words make one
 shingle. Ties and repeated rows fall into one class. Null ids stay in their class, which takes the smallest
-id that is not null. Only the id and the text are read.
+id that is not null. Texts are found by their sets, never by ids. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -120,8 +120,9 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node and twin (digests of the set), registers."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """docs without the text, with n_shingles, node and twin (digests of the set), registers."""
+    others = [c for c in docs.columns if c != "text"]
+    types = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,10 +135,31 @@ def sketches(docs: DataFrame) -> DataFrame:
                 twin.append(b)
                 regs.append(registers(s).astype("<u2").tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(regs, pa.binary())],
-                ["doc_id", "n_shingles", "node", "twin", "registers"])
+                [*map(batch.column, others), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(regs, pa.binary())],
+                [*others, "n_shingles", "node", "twin", "registers"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles long, node long, twin long, registers binary")
+    return docs.mapInArrow(run, f"{types}n_shingles long, node long, twin long, registers binary")
+
+
+def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """node and one text of each of the sets (node, twin). A task gives out one text of a set at most, so
+    copies, whatever their ids, come to a set's one text as often as there are tasks, not rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            at, node, twin = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                made = digest(shingle_set(text))
+                if made not in seen:
+                    seen.add(made)
+                    at.append(i)
+                    node.append(made[0])
+                    twin.append(made[1])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(twin, pa.int64()), batch.column("text").take(pa.array(at, pa.int64()))], ["node", "twin", "text"])
+
+    firsts = docs.select("text").mapInArrow(run, "node long, twin long, text string")
+    return firsts.join(sets, ["node", "twin"]).groupBy("node", "twin").agg(F.first("text").alias("text")).select("node", "text")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -178,24 +200,20 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, tuple[np.ndarray, int]] = {}
+        sets: dict[str, np.ndarray] = {}
 
-        def made(text: str) -> tuple[np.ndarray, int]:
+        def made(text: str) -> np.ndarray:
             got = sets.get(text)
             if got is None:
                 if len(sets) > 256:
                     sets.clear()
-                s = shingle_set(text)
-                got = sets[text] = s, digest(s)[0]
+                got = sets[text] = shingle_set(text)
             return got
 
         for batch in batches:
             keep = []
-            for a, b, t_a, t_b in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "t_a", "t_b")]):
-                (x, d_a), (y, d_b) = made(t_a or ""), made(t_b or "")
-                if d_a != a or d_b != b:  # another text under a repeated id
-                    keep.append(False)
-                    continue
+            for t_a, t_b in zip(*[batch.column(c).to_pylist() for c in ("t_a", "t_b")]):
+                x, y = made(t_a), made(t_b)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
@@ -362,10 +380,10 @@ def _between(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: D
     return rows.groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long, j double")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least id of the group), kept, for every row of docs."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches of docs (doc_id, text and what else is there), and node, twin, doc_id (the least),
+    component of every set that is not empty."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketch = written(sketches(docs), "dedup-sketches")
     classes = sketch.filter("n_shingles > 0").groupBy("node", "twin").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = written(classes, "dedup-classes")
@@ -375,8 +393,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("n"), leader.alias("leader")).filter("n > 1").select("band", "key", "leader")
     members = written(bands.join(shared, ["band", "key"]), "dedup-members")
 
-    ids = members.select("node").distinct().join(classes.select("node", F.col("doc_id").alias("_id")), "node")
-    texts = written(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text"), "dedup-texts")
+    sets = members.select("node").distinct().join(classes.select("node", "twin"), "node")
+    texts = written(_texts(docs, sets), "dedup-texts")
 
     pairs = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     stars = written(_estimated(pairs, classes), "dedup-stars")
@@ -395,7 +413,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if labels is None:
         labels = none
 
-    grouped = classes.select("node", "twin", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return sketch, classes.select("node", "twin", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (least id of the group), kept, for every row of docs."""
+    sketch, grouped = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     grouped = grouped.join(least, "component").select("node", "twin", "component_id")
     out = sketch.select("doc_id", "n_shingles", "node", "twin").join(grouped, ["node", "twin"], "left")
