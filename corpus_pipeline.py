@@ -26,16 +26,18 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least id. Rows that repeat an id count once."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_kept"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each group of near duplicates, the one of least id; rows of other groups stay whatever their ids."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    return rows.join(near_dedup.survivors(rows, "_row"), "_row", "left_semi").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix plays them: not at all, once or twice. Ids are distinct here."""
-    plays = mixing.mix(docs).filter("plays > 0").select(F.col("doc_id").alias("_id"), "plays")
-    played = docs.join(plays, F.col("doc_id").eqNullSafe(F.col("_id")))
+    """Documents as often as the mix plays them: not at all, once or twice. Plays belong to rows, since ids may
+    be null or repeat; the mix is shuffled by id and content."""
+    key = F.concat_ws(":", "doc_id", F.xxhash64(*docs.columns))
+    rows = written(docs.withColumns({"_row": F.monotonically_increasing_id(), "_key": key}), "pipeline-rows")
+    plays = mixing.mix(rows, id_col="_row", order_col="_key").filter("plays > 0").select(F.col("doc_id").alias("_row"), "plays")
+    played = rows.join(plays, "_row")
     return played.withColumn("_play", F.explode(F.sequence(F.lit(1), F.col("plays")))).select(docs.columns)
 
 

@@ -301,6 +301,29 @@ def test_pipeline(spark, sf, odd):
     assert {"doc_id", "sequence_id", "ids_crc32"} <= {*docs.columns}
 
 
+def test_distinct_rows_of_null_and_repeated_ids(spark, sf):
+    """One row of each group stays, and rows of other groups under the same id or none; plays follow rows."""
+    copy = lambda t: " ".join([*t.split()[:-1], "changed"])
+    texts = [" ".join(f"w{g}x{i}" for i in range(50)) for g in range(12)]
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0]), (None, copy(texts[1]))] + [(4, t) for t in texts[4:8]] + [(4, copy(texts[8])), (3, texts[8]), (9, copy(texts[4])), (9, texts[9]), (9, texts[9])]
+    rows = [(d, t, "en", "ab"[i % 2]) for i, (d, t) in enumerate(rows)]
+    group = {u: g for g, t in enumerate(texts) for u in (t, copy(t))}
+    results = []
+    for n in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(n)
+        kept = [tuple(r) for r in corpus_pipeline.distinct(spark, df, sf).collect()]
+        assert sorted(group[r[1]] for r in kept) == sorted({group[t] for _, t, *_ in rows}) and {*kept} <= {*rows}
+        by_group = {group[t]: d for d, t, *_ in kept}
+        assert [by_group[g] for g in range(10)] == [None] * 4 + [4] * 4 + [3, 9]
+        out = corpus_pipeline.mixture(spark, spark.createDataFrame(kept, df.schema), sf)
+        played = Counter(tuple(r) for r in out.collect())
+        assert {*played} <= {*kept} and max(played.values()) <= 2
+        # 1.5 times all words are wanted, so nearly all rows are played, null ids and repeated ones too
+        assert sum(played.values()) >= 13 and len(played) >= 9
+        results.append((sorted(map(str, kept)), sorted(map(str, played.items()))))
+    assert results[0] == results[1]
+
+
 def test_pipeline_of_odd_rows(spark, sf, odd, empty):
     for start in (odd, empty):
         docs = start

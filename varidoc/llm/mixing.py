@@ -82,10 +82,12 @@ def cut_time(timed: DataFrame) -> tuple[float, float]:
     return low, high
 
 
-def mix(docs: DataFrame, *, share: float = 1.5, repeats: int = 2, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target, plays (times the mix takes the document)."""
+def mix(docs: DataFrame, *, share: float = 1.5, repeats: int = 2, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, plays (times the mix takes the document).
+
+    Documents are shuffled by a digest of order_col, which is the id unless it is given."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    order = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    order = F.md5(F.concat(F.coalesce(F.col(order_col or id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
     narrow = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), order.alias("order")), "mix-sizes")
     narrow = narrow.withColumn("slice", slice_of(F.col("order"), buckets_for(narrow.count())))
     timed = written(plays(narrow, share=share, repeats=repeats), "mix-times")

@@ -426,5 +426,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def survivors(docs: DataFrame, row_col: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row_col of one row of each group, and of every row without words. row_col tells the rows of docs apart.
+
+    Of a group the row of least id stays, null last; of equal ids that of the least set digest, then of the
+    least hash of its columns, so that row_col decides between equal rows only."""
+    tie = F.xxhash64(*[c for c in docs.columns if c != row_col])
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), tie.alias("tie"), F.col(row_col).alias("row"))
+    sketch, grouped = _grouped(docs)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "twin", "tie", "row")).alias("best")
+    of_sets = sketch.filter("n_shingles > 0").groupBy("node", "twin").agg(best)
+    of_groups = of_sets.join(grouped.select("node", "twin", "component"), ["node", "twin"]).groupBy("component").agg(F.min("best").alias("best"))
+    return of_groups.select(F.col("best.row").alias(row_col)).unionByName(sketch.filter("n_shingles = 0").select(F.col("row").alias(row_col)))
+
+
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
