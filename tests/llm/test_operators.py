@@ -199,6 +199,22 @@ def test_neighbours(spark, n):
     assert hit >= 0.95 * 20 * len(got)
 
 
+def test_tasks_hold_blocks_of_queries(spark, monkeypatch):
+    """Each query of a group meets each of its rows once, and no task holds many queries, however many a group has."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 50)
+    df = spark.range(1200).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"), (F.col("id") % 3 > 0).cast("int").alias("group"))
+    asked, index = (x.select("group", "block", "query_block", "vec_id").collect() for x in ann.tasks(df.filter("vec_id % 4 = 0"), df))
+    held, queries, rows = Counter(map(tuple, ([*r][:3] for r in asked))), defaultdict(list), defaultdict(list)
+    for r in asked:
+        queries[tuple(r)[:3]].append(r["vec_id"])
+    for r in index:
+        rows[tuple(r)[:3]].append(r["vec_id"])
+    assert max(held.values()) <= 80 and max(map(len, rows.values())) <= 280
+    met = Counter((q, v) for k in queries for q in queries[k] for v in rows[k])
+    assert set(met.values()) == {1} and {*met} == {(q, v) for q in range(0, 1200, 4) for v in range(1200) if (q % 3 > 0) == (v % 3 > 0)}
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r["vec_id"], r["rank"]) for r in ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]

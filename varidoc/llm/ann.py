@@ -9,7 +9,8 @@ neighbours among held-out sample queries.
 
 At most `sample_rows` rows are fitted on (those of smallest hash), a documented bound; every row is indexed.
 Parts are searched in groups, and groups cut into blocks by a hash, so a part that holds a third of the rows, or
-one vector many times, is searched by many tasks; a block returns its best k for each query. The measure is the inner product. Vectors
+one vector many times, is searched by many tasks; a block returns its best k for each query. Queries of a group
+are cut into blocks too, and each of them meets each block of the group's rows in a task of its own. The measure is the inner product. Vectors
 that are null, zero, hold null or non-finite components, or differ in length from the most common one take
 no part. A query's own row is excluded by its id; ties go to the smaller id.
 """
@@ -31,6 +32,8 @@ SAMPLE_ROWS = 6000
 PART_ROWS, BLOCK_ROWS = 1000, 20_000
 #: Rows of the parts that are searched together, about.
 GROUP_ROWS = 10_000
+#: Queries of a group that one task holds, about.
+QUERY_ROWS = 10_000
 NEIGHBOURS = 20
 RECALL = 0.97
 
@@ -143,6 +146,17 @@ def usable(col: Column) -> Column:
     return F.coalesce(fine & F.exists(x, lambda e: e != 0), F.lit(False))
 
 
+def tasks(asked: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asked and index, both with group, vec_id and embedding, dealt out by (group, block, query_block): each query of a group
+    meets each of its rows in just one of these tasks, which holds about BLOCK_ROWS rows and QUERY_ROWS queries."""
+    count = lambda df, n, name: df.groupBy("group").agg(F.ceil(F.count("*") / n).cast("int").alias(name))  # noqa: E731  # a row for each group
+    sizes = count(index, BLOCK_ROWS, "blocks").join(count(asked, QUERY_ROWS, "query_blocks"), "group")
+    place = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda df, block, query_block: df.join(F.broadcast(sizes), "group").withColumn("block", block).withColumn("query_block", query_block).drop("blocks", "query_blocks")
+    return dealt(asked, every("blocks"), place("query_blocks")), dealt(index, place("blocks"), every("query_blocks"))
+
+
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows found for each query row, itself excluded.
 
@@ -175,11 +189,9 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, sample_rows: i
     # Several parts share a group, so that the answers of a query do not grow with its parts.
     groups = max(1, -(-rows // GROUP_ROWS))
     index = index.withColumn("group", F.col("part") % groups)
-    sizes = index.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # a row for each group
-    index = index.join(F.broadcast(sizes), "group").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = good.filter(is_query).withColumn("probes", placed(True)("embedding"))
-    asked = asked.withColumn("group", F.explode(F.array_distinct(F.transform("probes", lambda p: p % groups)))).join(F.broadcast(sizes), "group")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = written(good.filter(is_query).withColumn("probes", placed(True)("embedding")), "ann-queries")
+    asked = asked.withColumn("group", F.explode(F.array_distinct(F.transform("probes", lambda p: p % groups))))
+    asked, index = tasks(asked, index)
 
     def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -207,8 +219,9 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, sample_rows: i
                 got_s.append(s[at])
         return pa.table({"query_id": np.concatenate(got_q), "vec_id": np.concatenate(got_c), "score": np.concatenate(got_s)})
 
-    found = asked.select("group", "block", "vec_id", "embedding", "probes").groupBy("group", "block").cogroup(
-        index.select("group", "block", "vec_id", "embedding", "part").groupBy("group", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    keys = ["group", "block", "query_block"]
+    found = asked.select(*keys, "vec_id", "embedding", "probes").groupBy(*keys).cogroup(
+        index.select(*keys, "vec_id", "embedding", "part").groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
