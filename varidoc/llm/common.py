@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,26 +17,130 @@ BUCKET_ROWS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that a Python worker turns into Python objects at once, and bytes that one memo may hold.
+PART_ROWS, MEMO_BYTES = 256, 24_000_000
+
+_memos: list[Memo] = []
+
+
+class Memo(dict):
+    """What a Python worker remembers from row to row of one task. It forgets everything when it holds about
+    `room` bytes, and at the task's end; this bounds memory, not results."""
+
+    def __init__(self, room: int = MEMO_BYTES):
+        super().__init__()
+        self.room, self.held = room, 0
+        _memos.append(self)
+
+    def tidy(self) -> None:
+        """Forgets everything if it is too much; what is added after this stays until the next call."""
+        if self.held > self.room:
+            self.clear()
+
+    def add(self, key, value, size: int):
+        """Remembers value, which with its key takes about size bytes, and returns it."""
+        self.held += size
+        self[key] = value
+        return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
+def forget() -> None:
+    """Empties all memos of this worker, which may serve other tasks for long."""
+    for memo in _memos:
+        memo.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def parts_of(batch):
+    """A batch or array in parts of PART_ROWS rows; an empty one as it is."""
+    return [batch.slice(i, PART_ROWS) for i in range(0, len(batch), PART_ROWS)] or [batch]
+
+
+def in_parts(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, on few rows at once, forgetting at the end what it remembered."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(part for batch in batches for part in parts_of(batch))
+        finally:
+            forget()
+
+    return inner
+
+
+def each_part(convert: Callable[[pa.Array], pa.Array]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """convert for an Arrow UDF, on few rows at once, forgetting at the end what it remembered."""
+
+    def inner(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for array in arrays:
+                yield pa.concat_arrays([convert(part) for part in parts_of(array)])
+        finally:
+            forget()
+
+    return inner
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, for a column that goes again."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_struct(df: DataFrame, struct: Column, names: dict[str, str]) -> DataFrame:
+    """df with fields of a struct as columns by other names (fields by names); they take the place of df's own
+    columns of these names, compared as Spark compares names."""
+    made = fresh(df, "made")
+    new = {n.lower() for n in names.values()}
+    kept = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in new]
+    return df.withColumn(made, struct).select(*kept, *[F.col(made)[field].alias(name) for field, name in names.items()])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir, which the driver and all executors must share. Where none is
+    named, a session in one process gets a folder of its own, and a cluster is refused."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="varidoc-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """df, written to the shared folder and read again: a cut in the lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables written to the shared folder and read again: cuts in the lineage that survive lost executors.
+    drop() removes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Removes tables that write() gave; others are left alone."""
+        for table in tables:
+            _, path = self.paths.pop(id(table), (None, None))
+            if path:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    return Scratch(df.sparkSession).write(df, name)
 
 
 def buckets_for(rows: int, per_bucket: int = BUCKET_ROWS) -> int:
