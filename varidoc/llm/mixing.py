@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are shuffled by a digest of their id and played in rounds. A play's virtual finish
+Each source's documents are shuffled by a digest of their id and text and played in rounds. A play's virtual finish
 time is the tokens its source has played by its end, divided by the source's target: the fluid schedule in
 which all sources reach their targets at time 1. Plays in the order of finish times, cut at the total
 budget, are the mix. With a play's time a fixed function of the row, the global order is a range partition
@@ -9,8 +9,11 @@ rows of that one narrow range are put in order.
 
 Sizes are words (runs of characters other than space and tab to carriage return); null texts have none.
 Sources are weighted 5, 2, 1 in turn by code point, null last; a target is at most `repeats` times its
-source's size, and what that leaves is shared again by weight. Equal rows are played as separate rows;
-rows without words are never taken; an empty table gives an empty mix. Only the id, source and text are read.
+source's size, and what that leaves is shared again by weight. Within a source every row with words has finish
+times of its own, so plays are in order by time and source alone, and reruns agree however the input is
+partitioned, for null and repeated ids too: only rows that agree in id, source and text are told apart by
+chance. Rows without words are never taken; an empty table gives an empty mix. Only the id, source and text
+are read. Sources, a small row each, meet in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, buckets_for, slice_of, with_running_total, written
+from .common import WORD, Scratch, buckets_for, slice_of, with_running_total
 
 WEIGHTS = (5, 2, 1)
 #: Ranges of virtual time in one histogram, and rows that are put in order at most at the cut.
@@ -55,58 +58,56 @@ def plays(narrow: DataFrame, *, share: float, repeats: int) -> DataFrame:
     return timed.withColumn("times", F.when(F.col("size") > 0, ends).otherwise(F.array().cast("array<double>")))
 
 
-def cut_time(timed: DataFrame) -> tuple[float, float]:
-    """Where the budget runs out: times up to the first are taken whole, times from the second not at
-    all; the range between them holds few rows."""
+def cut_time(timed: DataFrame, budget: float) -> tuple[float, float, int]:
+    """Where the budget runs out: (low, high, spent). Plays up to low are taken whole and spend so much, plays
+    after high not at all. Between them are CUT_ROWS plays at most, or plays of one and the same time, of which
+    a source has one in a round."""
     one = timed.select(F.explode("times").alias("time"), "size")
-    edge = timed.agg(F.max(F.array_max("times")).alias("t")).first()["t"] or 0.0
-    budget = timed.select("source", "target").distinct().agg(F.sum("target")).first()[0] or 0.0
-    low, high, spent = 0.0, edge, 0.0
-    for _ in range(6):
+    low, high, spent = 0.0, timed.agg(F.max(F.array_max("times")).alias("t")).first()["t"] or 0.0, 0
+    while True:
         width = (high - low) / RANGES
-        if width <= 0:
-            break
-        at = F.least(F.floor((F.col("time") - F.lit(low)) / F.lit(width)), F.lit(RANGES - 1))
-        inside = one.filter((F.col("time") > low) & (F.col("time") <= high) if low else F.col("time") <= high)
-        sums = sorted((r["at"], r["s"], r["n"], r["t"]) for r in inside.groupBy(at.alias("at")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.max("time").alias("t")).collect())
-        last = low
-        for _, s, n, t in sums:
-            if spent + s > budget:
-                low, high = last, t
+        at = F.least(F.floor((F.col("time") - F.lit(low)) / F.lit(width)), F.lit(RANGES - 1)) if width > 0 else F.lit(0)
+        inside = one.filter((F.col("time") > low) & (F.col("time") <= high))
+        sums = inside.groupBy(at.alias("at")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.max("time").alias("t")).collect()  # RANGES rows at most
+        last, found = low, None
+        for r in sorted(sums, key=lambda r: r["at"]):
+            if spent + r["s"] > budget:
+                found = r
                 break
-            spent, last = spent + s, t
-        else:
-            return high, high
-        if n <= CUT_ROWS:
-            break
-    return low, high
-
+            spent, last = spent + r["s"], r["t"]
+        if found is None:
+            return high, high, spent
+        if found["n"] <= CUT_ROWS or (last, found["t"]) == (low, high):
+            return last, found["t"], spent
+        low, high = last, found["t"]
 
-def mix(docs: DataFrame, *, share: float = 1.5, repeats: int = 2, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", order_col: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, plays (times the mix takes the document).
 
-    Documents are shuffled by a digest of order_col, which is the id unless it is given."""
+def mix(docs: DataFrame, *, share: float = 1.5, repeats: int = 2, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: str | None = None, tie: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, plays (times the mix takes the document), and the column to
+    keep as kept. tie (a number or text) is digested with id and text, to tell rows apart that agree in both."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    order = F.md5(F.concat(F.coalesce(F.col(order_col or id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
-    narrow = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), order.alias("order")), "mix-sizes")
-    narrow = narrow.withColumn("slice", slice_of(F.col("order"), buckets_for(narrow.count())))
-    timed = written(plays(narrow, share=share, repeats=repeats), "mix-times")
-    low, high = cut_time(timed)
+    known = [F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))]
+    order = F.md5(F.concat_ws(":", *known, *([] if tie is None else [tie.cast("string")]), F.lit(seed)))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), order.alias("order"), *([] if keep is None else [F.col(keep).alias("kept")]))
+    scratch = Scratch(docs.sparkSession)
+    narrow = scratch.write(narrow, "mix-sizes")
+    sliced = narrow.withColumn("slice", slice_of(F.col("order"), buckets_for(narrow.count())))
+    timed = scratch.write(plays(sliced, share=share, repeats=repeats), "mix-times")
+    scratch.drop(narrow)
     budget = timed.select("source", "target").distinct().agg(F.sum("target")).first()[0] or 0.0
-    spent = timed.select(F.explode("times").alias("time"), "size").filter(F.col("time") <= low).agg(F.sum("size")).first()[0] or 0
-    # The rows of the range where the budget runs out, in their order; ties by source, digest, id.
-    edge = timed.select("source", "order", "doc_id", "size", F.explode("times").alias("time")).filter((F.col("time") > low) & (F.col("time") <= high))
-    queue = Window.partitionBy().orderBy("time", F.col("source").asc_nulls_last(), "order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    low, high, spent = cut_time(timed, budget)
+    # The plays of the range where the budget runs out, in their order.
+    edge = timed.select("source", "size", F.explode("times").alias("time")).filter((F.col("time") > low) & (F.col("time") <= high))
+    queue = Window.partitionBy().orderBy("time", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     ok = edge.withColumn("total", F.sum("size").over(queue)).filter(F.col("total") + F.lit(spent) <= F.lit(budget))
-    last = ok.agg(F.max(F.struct("time", F.col("source").isNull().alias("null"), "source", "order")).alias("x")).first()["x"]
-    if last is not None:
-        # every play up to the last one that fits, in the same order
-        stop = F.struct(F.lit(last["time"]).alias("time"), F.lit(last["null"]).alias("null"), F.lit(last["source"]).cast("string").alias("source"), F.lit(last["order"]).alias("order"))
-        fits = lambda t: (t <= low) | (F.struct(t.alias("time"), F.col("source").isNull().alias("null"), F.col("source"), F.col("order")) <= stop)
-    else:
-        fits = lambda t: t <= low
+    place = lambda time: F.struct(time.alias("time"), F.col("source").isNull().alias("null"), F.coalesce("source", F.lit("")).alias("source"))
+    last = ok.agg(F.max(place(F.col("time"))).alias("x")).first()["x"]
+    fits = lambda t: t <= low
+    if last is not None:  # every play up to the last one that fits, in the same order
+        stop = F.struct(F.lit(last["time"]).alias("time"), F.lit(last["null"]).alias("null"), F.lit(last["source"]).alias("source"))
+        fits = lambda t: (t <= low) | (place(t) <= stop)
     n = F.size(F.filter("times", fits))
-    return timed.select("doc_id", "source", "size", "source_size", "target", n.alias("plays"), "order")
+    return timed.select("doc_id", "source", "size", "source_size", "target", n.alias("plays"), *([] if keep is None else ["kept"]))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

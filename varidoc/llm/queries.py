@@ -31,7 +31,7 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 #: Digests, compressed forms, tokenizers and models that are fitted are beyond SQL; those queries are held
 #: against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
-    "op4_mixing": f"""with d as (select doc_id, source, len({_WORDS.format("coalesce(text, '')")})::bigint as size, md5(coalesce(doc_id::varchar, '') || ':mix') as o from documents),
+    "op4_mixing": f"""with d as (select doc_id, source, len({_WORDS.format("coalesce(text, '')")})::bigint as size, md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, '')) || ':mix') as o from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight, source_size * 2.0::double as cap from s),
 r as (select *, cap / weight as ratio from w),
@@ -41,7 +41,7 @@ water as (select (select level from l where level <= ratio order by ratio, sourc
 t as (select source, source_size, case when water.level is null or ratio < water.level then cap else water.level * weight end as target from l, water),
 p as (select d.*, source_size, target, sum(size) over (partition by d.source order by o, doc_id rows unbounded preceding) as played from d join t on d.source is not distinct from t.source),
 e as (select *, unnest([played / target, (played + source_size) / target]) as time from p where size > 0),
-c as (select doc_id, o, sum(size) over (order by time, source nulls last, o, doc_id rows unbounded preceding) as total from e),
+c as (select doc_id, o, sum(size) over (order by time, source nulls last rows unbounded preceding) as total from e),
 k as (select doc_id, o, count(*) as plays from c where total <= (select sum(target) from t) group by 1, 2)
 select doc_id, size, source_size, target, (size * coalesce(plays, 0))::bigint as taken from p left join k using (doc_id, o)""",
     "op9_near_dedup": f"""with recursive w as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
