@@ -27,12 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A worker forgets its chunks when it holds so many; this bounds memory, not results.
-CACHE_CHUNKS = 1_000_000
+from .common import Memo, in_parts
+
+#: Bytes that a counter's memos of words, chunks and pairs of tokens may take each.
+MEMO_BYTES = 60_000_000
 #: Separators that Python splits at and the tokenizer does not.
 _CONTROL = regex.compile("[\x1c-\x1f]")
 _PRETOKEN = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_SPACE, _LETTER, _NUMBER = regex.compile(r"\p{White_Space}"), regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+_SPACE, _LETTER, _NUMBER = regex.compile(r"\s"), regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
 #: Endings that the tokenizer takes as words where a word begins by the apostrophe.
 _CONTRACTIONS = frozenset(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"])
 _SAFE_SPLIT = regex.compile("[ \t\n\r\x0b\x0c]+")
@@ -72,15 +74,20 @@ def _seconds() -> frozenset[str]:
 
 
 @functools.lru_cache(1 << 16)
-def _joins(c: str) -> bool:
-    """Whether c may change how what stands before it is normalised."""
-    first = unicodedata.normalize("NFD", c)[0]
-    return unicodedata.combining(first) != 0 or first in _seconds()
+def settled(c: str) -> bool:
+    """Whether every edition of Unicode since 3.2 puts c into the same class, so that the tokenizer's does too."""
+    old, now = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+    return old != "Cn" and old[0] == now[0] and (now[0] == "L") == bool(_LETTER.match(c)) and (now[0] == "N") == bool(_NUMBER.match(c))
 
 
 @functools.lru_cache(1 << 16)
-def _kind(c: str) -> str:
-    return "S" if _SPACE.match(c) else "L" if _LETTER.match(c) else "N" if _NUMBER.match(c) else "P"
+def _joins(c: str) -> bool:
+    """Whether c may change how what stands before it is normalised; so may letters and marks that this
+    Python does not know yet."""
+    if unicodedata.category(c) == "Cn" and regex.match(r"[\p{L}\p{M}]", c):
+        return True
+    first = unicodedata.normalize("NFD", c)[0]
+    return unicodedata.combining(first) != 0 or first in _seconds()
 
 
 class _OpenWords:
@@ -106,7 +113,7 @@ class _OpenWords:
     def put(self, c: str) -> None:
         base, start, kind, mark, size, count = self.states[-1]
         self.text.append(c)
-        new = _kind(c)
+        new = self.counter.kind(c)
         if new == "S":
             self.states.append((count, size, new, "", size, count))
             return
@@ -166,9 +173,20 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, self.specials)) or r"(?!)")
         self.longest = max(map(len, self.closing))
         self.symbols = byte_symbols()
-        self.together: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes | tuple[int, ...]] = {}
-        self.chunks: dict[str, bytes | tuple[int, ...]] = {}
+        self.kinds: dict[str, str] = {}
+        self.together, self.words, self.chunks = Memo(MEMO_BYTES), Memo(MEMO_BYTES), Memo(MEMO_BYTES)
+
+    def kind(self, c: str) -> str:
+        """S, L, N or P: space, letter, number or other, as the tokenizer takes it."""
+        known = self.kinds.get(c)
+        if known is None:
+            if settled(c):
+                known = "S" if _SPACE.match(c) else "L" if _LETTER.match(c) else "N" if _NUMBER.match(c) else "P"
+            else:  # its edition of Unicode may be another than ours
+                pieces = lambda t: len(self.library.pre_tokenizer.pre_tokenize_str(t))
+                known = "L" if pieces("a" + c) == 1 and pieces(c) else "S" if not pieces(c) else "N" if pieces(c + c) == 2 else "P"
+            self.kinds[c] = known
+        return known
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether left and right stay two tokens when they stand side by side.
@@ -194,10 +212,8 @@ class PrefixCounter:
                 limit, l = from_l[0], from_l[2]
             else:
                 limit, r = from_r[0] + 1, from_r[1]
-        if len(self.together) > 2_000_000:
-            self.together.clear()
-        self.together[pair] = known
-        return known
+        self.together.tidy()
+        return self.together.add(pair, known, len(left) + len(right) + 250)
 
     def word_profile(self, word: str) -> bytes | tuple[int, ...]:
         """Counts of the encodings of word[:1], word[:2], ... each taken as a whole word; by characters."""
@@ -235,10 +251,8 @@ class PrefixCounter:
             known = _packed([closed[e] for e in ends])
         else:
             known = _packed(closed[1:])
-        if len(self.words) > CACHE_CHUNKS:
-            self.words.clear()
-        self.words[word] = known
-        return known
+        self.words.tidy()
+        return self.words.add(word, known, 2 * len(word) + 180)
 
     def profile(self, chunk: str) -> bytes | tuple[int, ...]:
         """Counts of the encodings of chunk[:1], chunk[:2], ..., chunk."""
@@ -249,7 +263,7 @@ class PrefixCounter:
         plain = "'" not in chunk and "<|" not in chunk and len(low) == len(chunk)
         if plain and not low.isascii():
             # characters that change when read apart, or that combine, are left to the library
-            plain = low == "".join(c.lower() for c in chunk) and unicodedata.is_normalized("NFC", chunk) and not any(map(unicodedata.combining, chunk)) and not any("ᄀ" <= c <= "ᇿ" for c in chunk)
+            plain = all(map(settled, low)) and low == "".join(c.lower() for c in chunk) and unicodedata.is_normalized("NFC", chunk) and not any(map(unicodedata.combining, chunk)) and not any("ᄀ" <= c <= "ᇿ" for c in chunk)
         if plain:
             if low.isalpha():
                 known = self.word_profile(low)
@@ -261,10 +275,8 @@ class PrefixCounter:
             plain = len(known) == len(chunk)
         if not plain:
             known = self.odd_profile(chunk)
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        known = self.chunks[chunk] = _packed(known)
-        return known
+        self.chunks.tidy()
+        return self.chunks.add(chunk, _packed(known), 2 * len(chunk) + 180)
 
     def odd_profile(self, chunk: str) -> list[int]:
         """Counts at every prefix of a chunk of any characters. A special token counts from its last character on."""
@@ -369,7 +381,7 @@ def token_counts(docs: DataFrame, *, budget: int = 2048, path: str | None = None
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(fits, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens", "fits_chars"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long, fits_chars long")
+    return rows.mapInArrow(in_parts(run), f"doc_id {id_type}, n_bytes long, n_tokens long, fits_chars long")
 
 
 def steps_of(counts: np.ndarray) -> tuple[bytes, int]:
@@ -394,7 +406,7 @@ def prefix_table(docs: DataFrame, *, path: str | None = None, id_col: str = "doc
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([s for s, _ in made], pa.binary()), pa.array([w for _, w in made], pa.int32())], ["doc_id", "steps", "width"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, steps binary, width int")
+    return rows.mapInArrow(in_parts(run), f"doc_id {id_type}, steps binary, width int")
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
