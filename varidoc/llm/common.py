@@ -23,28 +23,30 @@ PART_ROWS, MEMO_BYTES = 256, 24_000_000
 _memos: list[Memo] = []
 
 
-class Memo(dict):
-    """What a Python worker remembers from row to row of one task. It forgets everything when it holds about
-    `room` bytes, and at the task's end; this bounds memory, not results."""
+class Memo:
+    """What a Python worker remembers from row to row of one task, in the dict known. It forgets everything when
+    it holds about `room` bytes, and, unless it is lasting, at the task's end; this bounds memory, not results."""
 
-    def __init__(self, room: int = MEMO_BYTES):
-        super().__init__()
+    def __init__(self, room: int = MEMO_BYTES, *, lasting: bool = False):
+        self.known: dict = {}
         self.room, self.held = room, 0
-        _memos.append(self)
+        if not lasting:
+            _memos.append(self)
 
-    def tidy(self) -> None:
-        """Forgets everything if it is too much; what is added after this stays until the next call."""
+    def tidy(self) -> dict:
+        """known, empty if it was too much; what is added after this stays until the next call."""
         if self.held > self.room:
             self.clear()
+        return self.known
 
     def add(self, key, value, size: int):
         """Remembers value, which with its key takes about size bytes, and returns it."""
         self.held += size
-        self[key] = value
+        self.known[key] = value
         return value
 
     def clear(self) -> None:
-        super().clear()
+        self.known.clear()
         self.held = 0
 
 

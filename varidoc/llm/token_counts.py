@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import Memo, in_parts
 
-#: Bytes that a counter's memos of words, chunks and pairs of tokens may take each.
-MEMO_BYTES = 60_000_000
+#: Bytes that a counter's memos of words and chunks may take each, and of pairs of tokens.
+MEMO_BYTES, PAIR_BYTES = 60_000_000, 150_000_000
 #: Separators that Python splits at and the tokenizer does not.
 _CONTROL = regex.compile("[\x1c-\x1f]")
 _PRETOKEN = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -174,7 +174,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.closing))
         self.symbols = byte_symbols()
         self.kinds: dict[str, str] = {}
-        self.together, self.words, self.chunks = Memo(MEMO_BYTES), Memo(MEMO_BYTES), Memo(MEMO_BYTES)
+        self.together, self.words, self.chunks = Memo(PAIR_BYTES, lasting=True), Memo(MEMO_BYTES), Memo(MEMO_BYTES)
 
     def kind(self, c: str) -> str:
         """S, L, N or P: space, letter, number or other, as the tokenizer takes it."""
@@ -195,7 +195,7 @@ class PrefixCounter:
         whether the two pieces at the seam would have merged before the merge just taken back.
         """
         pair = (left, right)
-        known = self.together.get(pair)
+        known = self.together.known.get(pair)
         if known is not None:
             return known
         rank, made, known = self.rank, self.made, True
@@ -217,7 +217,7 @@ class PrefixCounter:
 
     def word_profile(self, word: str) -> bytes | tuple[int, ...]:
         """Counts of the encodings of word[:1], word[:2], ... each taken as a whole word; by characters."""
-        known = self.words.get(word)
+        known = self.words.known.get(word)
         if known is not None:
             return known
         sym = self.symbols
@@ -226,7 +226,7 @@ class PrefixCounter:
         last: list[str] = [""] * (n + 1)  # last token of each prefix inside a longer word
         inner = [0] * (n + 1)
         closed = [0] * (n + 1)  # counts of each prefix that ends its word
-        together, closing = self.together, self.closing
+        together, closing = self.together.known, self.closing
         for j in range(n):
             before, count = last[j], inner[j] + 1
             for i in range(j + 1, n + 1):
@@ -256,7 +256,7 @@ class PrefixCounter:
 
     def profile(self, chunk: str) -> bytes | tuple[int, ...]:
         """Counts of the encodings of chunk[:1], chunk[:2], ..., chunk."""
-        known = self.chunks.get(chunk)
+        known = self.chunks.known.get(chunk)
         if known is not None:
             return known
         low = chunk.lower()
@@ -319,7 +319,7 @@ class PrefixCounter:
         return sum(self.totals(chunks_of(text)))
 
     def totals(self, chunks: list[str]) -> list[int]:
-        get, profile = self.chunks.get, self.profile
+        get, profile = self.chunks.known.get, self.profile
         return [(get(c) or profile(c))[-1] for c in chunks]
 
     def counts(self, text: str) -> np.ndarray:
