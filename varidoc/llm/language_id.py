@@ -13,14 +13,16 @@ nothing; with no training rows at all every document is `und`. Whole texts count
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import each_part, in_parts, with_struct
+
 UNDETERMINED = "und"
 _letters: np.ndarray | None = None
 
@@ -102,7 +104,7 @@ def fit(docs: DataFrame, *, size: int = 400, text_col: str = "text", lang_col: s
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(part)), pa.array(part), pa.array(n[i : i + 100_000])], ["lang", "gram", "n"])
 
-    sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(in_parts(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = sums.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < size)
     found = top.select("lang", "gram", "place").toArrow().to_pydict()
@@ -114,32 +116,37 @@ def fit(docs: DataFrame, *, size: int = 400, text_col: str = "text", lang_col: s
     return Profiles(languages, keys, places, size)
 
 
-def with_language(docs: DataFrame, profiles: Profiles, *, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and lang_score to docs. The score is the share by which the winner's distance is
-    below the runner-up's (below 1, where there is one language)."""
-    known = docs.sparkSession.sparkContext.broadcast(profiles)
-    fields = [f.name for f in docs.schema]
+def language_of(spark: SparkSession, profiles: Profiles) -> Callable[[Column], Column]:
+    """A function of a text column: a struct of lang and score. The score is the share by which the winner's
+    distance is below the runner-up's (below 1, where there is one language)."""
+    known = spark.sparkContext.broadcast(profiles)
 
-    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def predict(texts: pa.Array) -> pa.Array:
         p = known.value
-        for batch in texts:
-            langs, scores = [], []
-            for text in batch.to_pylist():
-                d = p.distances(text) if text else None
-                if d is None:
-                    langs.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                best = int(np.argmin(d))
-                rest = np.delete(d, best)
-                second = float(rest.min()) if len(rest) else 1.0
-                langs.append(p.languages[best])
-                scores.append(max(0.0, 1 - float(d[best]) / second) if second > 0 else 0.0)
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
-
-    udf = F.arrow_udf(predict, "lang string, score double")
-    got = docs.withColumn("_language", udf(F.col(text_col)))
-    return got.select(*[F.col(f"`{f}`") for f in fields], F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("lang_score"))
+        langs, scores = [], []
+        for text in texts.to_pylist():
+            d = p.distances(text) if text else None
+            if d is None:
+                langs.append(UNDETERMINED)
+                scores.append(0.0)
+                continue
+            best = int(np.argmin(d))
+            rest = np.delete(d, best)
+            second = float(rest.min()) if len(rest) else 1.0
+            langs.append(p.languages[best])
+            scores.append(max(0.0, 1 - float(d[best]) / second) if second > 0 else 0.0)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+
+    def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return each_part(predict)(texts)
+
+    return F.arrow_udf(batches, "lang string, score double")
+
+
+def with_language(docs: DataFrame, profiles: Profiles, *, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and lang_score, which take the place of columns of these names."""
+    got = language_of(docs.sparkSession, profiles)(F.col(text_col))
+    return with_struct(docs, got, {"lang": "lang_pred", "score": "lang_score"})
 
 
 def held_out(id_col: str = "doc_id") -> Column:

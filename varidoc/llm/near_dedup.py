@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Memo, Scratch, in_parts
 
 WORDS = 5
 REGISTERS, BAND, MANTISSA = 128, 4, 10
@@ -44,10 +44,10 @@ SMALL = 6
 LEADERS = 3
 #: Most similar candidates of a node that are confirmed in the first round.
 TRIES = 2
-CACHE_WORDS = 1_000_000
 
 _U = np.uint64
-_word_hashes: dict[bytes, int] = {}
+_word_hashes = Memo()
+_sets = Memo()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -60,11 +60,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes. A-Z is lower-cased; words are split at space and tab to return."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    known = _word_hashes
-    if len(known) > CACHE_WORDS:
-        known.clear()
+    known = _word_hashes.tidy()
     for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w)
+        _word_hashes.add(w, xxhash.xxh3_64_intdigest(w), len(w) + 180)
     h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     n = min(WORDS, len(h))
     if not n:
@@ -76,6 +74,16 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(s)
 
 
+def remembered_set(text: str) -> np.ndarray:
+    """shingle_set, for texts that come again soon."""
+    got = _sets.known.get(text)
+    if got is None:
+        _sets.tidy()
+        s = shingle_set(text)
+        got = _sets.add(text, s, s.nbytes + 2 * len(text) + 200)
+    return got
+
+
 def digest(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit digests of a set, as signed integers."""
     with np.errstate(over="ignore"):
@@ -138,7 +146,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 [*map(batch.column, others), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(regs, pa.binary())],
                 [*others, "n_shingles", "node", "twin", "registers"])
 
-    return docs.mapInArrow(run, f"{types}n_shingles long, node long, twin long, registers binary")
+    return docs.mapInArrow(in_parts(run), f"{types}n_shingles long, node long, twin long, registers binary")
 
 
 def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -158,7 +166,7 @@ def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
                     twin.append(made[1])
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(twin, pa.int64()), batch.column("text").take(pa.array(at, pa.int64()))], ["node", "twin", "text"])
 
-    firsts = docs.select("text").mapInArrow(run, "node long, twin long, text string")
+    firsts = docs.select("text").mapInArrow(in_parts(run), "node long, twin long, text string")
     return firsts.join(sets, ["node", "twin"]).groupBy("node", "twin").agg(F.first("text").alias("text")).select("node", "text")
 
 
@@ -200,32 +208,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, np.ndarray] = {}
-
-        def made(text: str) -> np.ndarray:
-            got = sets.get(text)
-            if got is None:
-                if len(sets) > 256:
-                    sets.clear()
-                got = sets[text] = shingle_set(text)
-            return got
-
         for batch in batches:
             keep = []
             for t_a, t_b in zip(*[batch.column(c).to_pylist() for c in ("t_a", "t_b")]):
-                x, y = made(t_a), made(t_b)
+                x, y = remembered_set(t_a), remembered_set(t_b)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(in_parts(run), "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of every node of edges (a, b): the least node reachable, by alternating stars:
     neighbours are hung on the least one, first the greater ones, then the others, until nothing moves."""
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "dedup-edges")
+    scratch = scratch or Scratch(edges.sparkSession)
+    now = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "dedup-edges")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -233,8 +232,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u")
-        now = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = written(now, "dedup-stars")
+        stars = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        before, now = now, scratch.write(stars, "dedup-stars")
+        scratch.drop(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break
@@ -251,7 +251,7 @@ def _samples(texts: DataFrame) -> DataFrame:
             made = [(shingle_set(t)[:SAMPLE] >> _U(32)).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "sample"])
 
-    return texts.mapInArrow(run, "node long, sample binary")
+    return texts.mapInArrow(in_parts(run), "node long, sample binary")
 
 
 def sampled(own: np.ndarray, n: int, others: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
@@ -273,38 +273,43 @@ def sampled(own: np.ndarray, n: int, others: list[np.ndarray], sizes: np.ndarray
     return both >= j * union - np.where(partial, ERRORS * np.sqrt(union * j * (1 - j)) + 1, 1e-9)
 
 
-def _resolve(pairs: DataFrame, texts: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+def _resolve(pairs: DataFrame, texts: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame | None:
     """Confirms pairs (a, b, j) until none that is left lies between two components: in each round the most
     similar few of every node that still lie between components, four times as many each round. Returns the
     labels (node, component) of all nodes that have a link."""
-    tries, left = TRIES, pairs
+    tries, left, waiting = TRIES, pairs, None
     while True:
         if labels is not None:
             side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
             left = left.join(side("a"), "a", "left").join(side("b"), "b", "left")
             left = left.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "j")
         order = Window.partitionBy("a").orderBy(F.desc("j"), "b")
-        left = written(left.withColumn("i", F.row_number().over(order)), "dedup-open")
-        if left.isEmpty():
+        before, waiting = waiting, scratch.write(left.withColumn("i", F.row_number().over(order)), "dedup-open")
+        scratch.drop(before)
+        if waiting.isEmpty():
             return labels
-        links = written(_confirmed(left.filter(F.col("i") <= tries), texts), "dedup-links")
+        links = scratch.write(_confirmed(waiting.filter(F.col("i") <= tries), texts), "dedup-links")
         if not links.isEmpty():
-            labels = _joined(links, labels)
-        left = left.filter(F.col("i") > tries).select("a", "b", "j")
+            before, labels = labels, _joined(links, labels, scratch)
+            scratch.drop(before)
+        scratch.drop(links)
+        left = waiting.filter(F.col("i") > tries).select("a", "b", "j")
         tries *= 4
 
 
-def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _joined(links: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
     """labels with new links: components of the graph whose nodes are the components so far."""
     if labels is None:
-        return written(components(links), "dedup-labels")
+        return scratch.write(components(links, scratch), "dedup-labels")
     side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     joined = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    moved = components(joined.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
-    moved = written(moved.select(F.col("node").alias("old"), F.col("component").alias("new")), "dedup-moved")
+    moved = components(joined.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")), scratch)
+    moved = scratch.write(moved.select(F.col("node").alias("old"), F.col("component").alias("new")), "dedup-moved")
     kept = labels.join(moved, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
     fresh = moved.join(labels.select("component").distinct(), F.col("old") == F.col("component"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
-    return written(kept.unionByName(fresh), "dedup-labels")
+    out = scratch.write(kept.unionByName(fresh), "dedup-labels")
+    scratch.drop(moved)
+    return out
 
 
 def _undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -384,32 +389,35 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sketches of docs (doc_id, text and what else is there), and node, twin, doc_id (the least),
     component of every set that is not empty."""
     spark = docs.sparkSession
-    sketch = written(sketches(docs), "dedup-sketches")
+    scratch = Scratch(spark)
+    sketch = scratch.write(sketches(docs), "dedup-sketches")
     classes = sketch.filter("n_shingles > 0").groupBy("node", "twin").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    classes = written(classes, "dedup-classes")
+    classes = scratch.write(classes, "dedup-classes")
     bands = _bands(classes)
     # A bucket's leader is picked by a hash of band and node, so leaders differ between bands.
     leader = F.min(F.struct(F.xxhash64("band", "node").alias("h"), F.col("node").alias("leader")))["leader"]
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("n"), leader.alias("leader")).filter("n > 1").select("band", "key", "leader")
-    members = written(bands.join(shared, ["band", "key"]), "dedup-members")
+    members = scratch.write(bands.join(shared, ["band", "key"]), "dedup-members")
 
     sets = members.select("node").distinct().join(classes.select("node", "twin"), "node")
-    texts = written(_texts(docs, sets), "dedup-texts")
+    texts = scratch.write(_texts(docs, sets), "dedup-texts")
 
     pairs = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    stars = written(_estimated(pairs, classes), "dedup-stars")
-    labels = _resolve(stars, texts, None)
+    stars = scratch.write(_estimated(pairs, classes), "dedup-stars")
+    labels = _resolve(stars, texts, None, scratch)
     named = members.select("band", "key", "node")
     none = spark.createDataFrame([], "node long, component long")
     way = lambda df: df.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
     untried = lambda df, done: df.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(done, ["lo", "hi"], "left_anti").drop("lo", "hi")
     done = way(stars)
     central = untried(_central(named, none if labels is None else labels, classes), done)  # a: member, b: leader
-    central = written(_estimated(central, classes), "dedup-central")
-    labels = _resolve(central, texts, labels)
+    central = scratch.write(_estimated(central, classes), "dedup-central")
+    labels = _resolve(central, texts, labels, scratch)
     # Pairs with leaders are settled; what may still join components are pairs of other members.
-    rest = _between(named, none if labels is None else labels, classes, texts)
-    labels = _resolve(untried(rest, done.unionByName(way(central))), texts, labels)
+    rest = scratch.write(untried(_between(named, none if labels is None else labels, classes, texts), done.unionByName(way(central))), "dedup-rest")
+    scratch.drop(members, stars, central)
+    labels = _resolve(rest, texts, labels, scratch)
+    scratch.drop(rest, texts)
     if labels is None:
         labels = none
 

@@ -27,10 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, buckets_for, slice_of, with_running_total, written
-from .token_counts import chunks_of, tokenizer_path
-
-CACHE_CHUNKS = 1_000_000
+from .common import BUCKET_ROWS, Memo, buckets_for, in_parts, slice_of, with_running_total, written
+from .token_counts import chunks_of, settled, tokenizer_path
 
 
 class Encoder:
@@ -40,26 +38,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.memo = Memo()
 
     def ids(self, text: str, last: bytes) -> np.ndarray:
         if "<|" not in text and "\u03a3" not in text and "\u0130" not in text:
             text = text.lower()  # as the tokenizer does; fewer distinct chunks
         chunks = chunks_of(text)
-        known = self.known
+        memo, known = self.memo, self.memo.known
         distinct = set(chunks)
         new = distinct.difference(known)
         if new:
-            if len(known) > CACHE_CHUNKS:
-                known.clear()
+            if memo.held > memo.room:
+                memo.clear()
                 new = distinct
             # a word and the full stop or comma after it are two words of the tokenizer
-            ended = [c for c in new if c[-1] in ".," and c[:-1].isalpha()]
+            ended = [c for c in new if c[-1] in ".," and c[:-1].isalpha() and (c.isascii() or all(map(settled, c)))]
             plain = [*(new.difference(ended) | {c[:-1] for c in ended}.difference(known) | {".", ","}.difference(known))]
             for chunk, e in zip(plain, self.library.encode_batch_fast(plain, add_special_tokens=False)):
-                known[chunk] = array("I", e.ids).tobytes()
+                memo.add(chunk, array("I", e.ids).tobytes(), len(chunk) + 4 * len(e.ids) + 180)
             for c in ended:
-                known[c] = known[c[:-1]] + known[c[-1]]
+                memo.add(c, known[c[:-1]] + known[c[-1]], len(c) + 200)
         return np.frombuffer(b"".join([*map(known.__getitem__, chunks), last]), dtype="<u4")
 
 
@@ -93,7 +91,7 @@ def _lengths(docs: DataFrame, window: int, end_id: int, path: str) -> DataFrame:
                 [batch.column("doc_id"), batch.column("order"), batch.column("pooled"), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int64()), pa.array(kept, pa.binary())],
                 ["doc_id", "order", "pooled", "doc_tokens", "window_crcs", "rest_crc", "rest_ids"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, order string, pooled boolean, doc_tokens long, window_crcs array<long>, rest_crc long, rest_ids binary")
+    return docs.mapInArrow(in_parts(run), f"doc_id {id_type}, order string, pooled boolean, doc_tokens long, window_crcs array<long>, rest_crc long, rest_ids binary")
 
 
 @lru_cache(4)

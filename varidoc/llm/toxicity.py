@@ -7,7 +7,7 @@ score follows an extreme-value law under the background, so its bit score `lambd
 comparable between texts of any length; a document's evidence is its best segment's and the sum of its
 significant ones, which a logistic curve turns into a probability.
 
-Training takes at most `max_rows` labelled rows (those of smallest hash), a documented bound: so the
+Training takes at most `max_rows` labelled ids (those of smallest hash) and one row of each, a documented bound: so the
 token table, the rows that the curve is fitted on and the broadcast of labelled ids are bounded. Scoring
 is one map over the whole texts. Null and empty texts have no evidence and get the score of none; rows
 labelled more than once count as toxic if one label says so; without toxic training rows all scores are 0.
@@ -18,15 +18,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Memo, each_part, in_parts, with_struct, written
 from .language_id import held_out
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -36,8 +36,6 @@ MAX_ROWS = 40_000
 STEMS = (4, 5, 6)
 #: Log-likelihood ratio and log-odds that a token must exceed to be significant.
 LEAST_RATIO, LEAST_ODDS = 25.0, 1.5
-#: Scored words that a worker remembers; this bounds memory, not results.
-CACHE_WORDS = 1_000_000
 #: Expected number of segments as good in a background text of the same length, for a significant one.
 E_VALUE = 0.05
 
@@ -47,20 +45,8 @@ def forms(word: str) -> list[str]:
     return [word, *["^" + word[:k] for k in STEMS if len(word) > k]]
 
 
-class _Words(dict):
-    """Scores of words met so far: the greatest of their tokens' scores, 0 without one."""
-
-    def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-
-    def __missing__(self, word: str) -> float:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = score = max([self.scores.get(f, 0.0) for f in forms(word)])
-        return score
-
-
-_words: dict[int, tuple[dict, _Words]] = {}
+#: Scores of words met so far, of one model at a time.
+_words = Memo()
 
 
 @dataclass
@@ -76,11 +62,10 @@ class ToxicityModel:
         tokens = TOKEN.findall(text.lower())
         if not self.scores:
             return [], len(tokens)
-        kept = _words.get(id(self.scores))
-        if kept is None:
-            _words.clear()
-            kept = _words[id(self.scores)] = self.scores, _Words(self.scores)
-        hits = [(i, s) for i, s in enumerate(map(kept[1].__getitem__, tokens)) if s]
+        known = words_of(self)
+        for w in set(tokens).difference(known):
+            _words.add(w, max([self.scores.get(f, 0.0) for f in forms(w)]), len(w) + 150)
+        hits = [(i, s) for i, s in enumerate(map(known.__getitem__, tokens)) if s]
         return maximal_segments(hits, self.drift), len(tokens)
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, float]:
@@ -95,6 +80,14 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * best + c * math.log1p(total)))))
 
 
+def words_of(model: ToxicityModel) -> dict[str, float]:
+    """The known word scores (0 for a word without one), empty if it was another model's."""
+    if getattr(_words, "model", None) is not model:
+        _words.clear()
+        _words.model = model
+    return _words.tidy()
+
+
 def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """Ruzzo and Tompa's scan. hits: positions and positive scores in order; every other token scores drift.
 
@@ -120,15 +113,17 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[
 
 
 def _training(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """text and toxic of max_rows labelled ids at most. Of rows that share an id the text of least hash teaches."""
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     marked = marked.filter(~held_out("_id")).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    return rows.join(F.broadcast(marked), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    rows = rows.join(F.broadcast(marked), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> ToxicityModel:
-    train = _training(docs, labels, max_rows)
+    train = written(_training(docs, labels, max_rows), "toxicity-train")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = (Counter(), Counter())
@@ -141,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Toxi
             part = words[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array([s[w] for w in part], pa.int64()) for s in sums]], ["token", "other", "toxic"])
 
-    sums = written(train.mapInArrow(count, "token string, other long, toxic long").groupBy("token").agg(F.sum("other").alias("o"), F.sum("toxic").alias("t")), "toxicity-tokens")
+    sums = written(train.mapInArrow(in_parts(count), "token string, other long, toxic long").groupBy("token").agg(F.sum("other").alias("o"), F.sum("toxic").alias("t")), "toxicity-tokens")
     n_o, n_t = sums.agg(F.sum("o"), F.sum("t")).first()
     if not n_t or not n_o:
         return ToxicityModel()
@@ -179,13 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Toxi
                  pa.array([g[2][1] for g in got], pa.float64()), batch.column("toxic")], ["top", "n", "best", "total", "toxic"])
 
     schema = "top double, n long, best double, total double, toxic int"
-    seen = train.mapInArrow(features, schema).toArrow().to_pydict()  # max_rows rows at most
+    seen = train.mapInArrow(in_parts(features), schema).toArrow().to_pydict()  # max_rows rows at most
     top, n, y = np.array(seen["top"]), np.maximum(np.array(seen["n"]), 1), np.array(seen["toxic"]) > 0
     back = ~y & (top > 0)
     if back.any():  # the mean of the extreme-value law is (ln(K n) + Euler's constant) / lambda
         model.log_k = float(np.mean(model.scale * top[back] - np.log(n[back])) - np.euler_gamma)
     bits = np.maximum(0.0, model.scale * top - model.log_k - np.log(n)) * (top > 0)
-    seen = train.mapInArrow(features, schema).toArrow().to_pydict()
+    seen = train.mapInArrow(in_parts(features), schema).toArrow().to_pydict()
     x = np.column_stack([np.ones(len(seen["best"])), seen["best"], np.log1p(seen["total"])])
     y = np.array(seen["toxic"]) > 0
     model.curve = tuple(_logistic(x, y))
@@ -204,26 +199,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 5
     return w
 
 
-def with_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
-    """Adds toxic_score and toxic_passages (first token, end token, bit score of every significant one)."""
-    known = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f.name for f in docs.schema]
+def toxicity_of(spark: SparkSession, model: ToxicityModel) -> Callable[[Column], Column]:
+    """A function of a text column: a struct of score and passages (first token, end token, bit score of
+    every significant one)."""
+    known = spark.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("bits", pa.float64())]))
 
-    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def score(texts: pa.Array) -> pa.Array:
         m = known.value
-        for batch in texts:
-            scores, passages = [], []
-            for text in batch.to_pylist():
-                segments, n = m.segments(text or "")
-                scores.append(m.probability(*m.evidence(segments, n)))
-                least = m.log_k + math.log(max(n, 1)) - math.log(E_VALUE)
-                passages.append([{"first": a, "end": b, "bits": m.scale * s - m.log_k - math.log(max(n, 1))} for a, b, s in segments if m.scale * s > least])
-            kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("bits", pa.float64())]))
-            yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(passages, kind)], ["score", "passages"])
-
-    udf = F.arrow_udf(score, "score double, passages array<struct<first: long, end: long, bits: double>>")
-    got = docs.withColumn("_toxicity", udf(F.col(text_col)))
-    return got.select(*[F.col(f"`{f}`") for f in fields], F.col("_toxicity.score").alias("toxic_score"), F.col("_toxicity.passages").alias("toxic_passages"))
+        scores, passages = [], []
+        for text in texts.to_pylist():
+            segments, n = m.segments(text or "")
+            scores.append(m.probability(*m.evidence(segments, n)))
+            least = m.log_k + math.log(max(n, 1)) - math.log(E_VALUE)
+            passages.append([{"first": a, "end": b, "bits": m.scale * s - m.log_k - math.log(max(n, 1))} for a, b, s in segments if m.scale * s > least])
+        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(passages, kind)], ["score", "passages"])
+
+    def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return each_part(score)(texts)
+
+    return F.arrow_udf(batches, "score double, passages array<struct<first: long, end: long, bits: double>>")
+
+
+def with_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
+    """docs with toxic_score and toxic_passages, which take the place of columns of these names."""
+    got = toxicity_of(docs.sparkSession, model)(F.col(text_col))
+    return with_struct(docs, got, {"score": "toxic_score", "passages": "toxic_passages"})
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
