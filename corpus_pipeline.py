@@ -10,35 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varidoc.llm import language_id, mixing, near_dedup, packing, toxicity
-from varidoc.llm.common import written
+from varidoc.llm.common import fresh, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language. Those without a letter go; a null text is one of them."""
     profiles = language_id.fit(docs.filter(~F.coalesce(language_id.held_out(), F.lit(False))))
-    return language_id.with_language(docs, profiles).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(docs.columns)
+    return docs.filter(language_id.language_of(spark, profiles)(F.col("text"))["lang"] != language_id.UNDETERMINED)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic: a probability below 0.7."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_toxicity(docs, model).filter(F.col("toxic_score") < 0.7).select(docs.columns)
+    return docs.filter(toxicity.toxicity_of(spark, model)(F.col("text"))["score"] < 0.7)
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a number for each row, since ids may be null or repeat; and the number's column."""
+    row = fresh(docs, "row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, the one of least id; rows of other groups stay whatever their ids."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    return rows.join(near_dedup.survivors(rows, "_row"), "_row", "left_semi").select(docs.columns)
+    rows, row = _numbered(docs)
+    return rows.join(near_dedup.survivors(rows, row), row, "left_semi").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix plays them: not at all, once or twice. Plays belong to rows, since ids may
-    be null or repeat; the mix is shuffled by id and content."""
-    key = F.concat_ws(":", "doc_id", F.xxhash64(*docs.columns))
-    rows = written(docs.withColumns({"_row": F.monotonically_increasing_id(), "_key": key}), "pipeline-rows")
-    plays = mixing.mix(rows, id_col="_row", order_col="_key").filter("plays > 0").select(F.col("doc_id").alias("_row"), "plays")
-    played = rows.join(plays, "_row")
-    return played.withColumn("_play", F.explode(F.sequence(F.lit(1), F.col("plays")))).select(docs.columns)
+    """Documents as often as the mix plays them: not at all, once or twice. Plays belong to rows; the mix is
+    shuffled by id and content, so row numbers decide between equal rows only."""
+    rows, row = _numbered(docs)
+    plays = mixing.mix(rows, keep=row, tie=F.xxhash64(*docs.columns)).filter("plays > 0").select(F.col("kept").alias(row), "plays")
+    played, play = rows.join(plays.withColumnRenamed("plays", fresh(rows, "plays")), row), fresh(docs, "play")
+    return played.withColumn(play, F.explode(F.sequence(F.lit(1), F.col(fresh(rows, "plays"))))).select(docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
