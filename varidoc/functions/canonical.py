@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,14 +24,27 @@ def number_text(x: float) -> str:
     return text
 
 
+#: Control characters without a letter of their own.
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_LETTERS = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+_SPECIAL = str.maketrans(_LETTERS)
+
+
+def string_text(s: str) -> str:
+    """A JSON string literal, as text.escape_json makes it."""
+    return f'"{_CONTROL.sub(lambda m: f"\\u{ord(m[0]):04x}", s.translate(_SPECIAL))}"'
+
+
 def canonical(x) -> str:
     """Canonical text of a parsed document: keys in byte order at every level."""
     if isinstance(x, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(x[k])}" for k in sorted(x)) + "}"
+        return "{" + ",".join(f"{string_text(k)}:{canonical(x[k])}" for k in sorted(x)) + "}"
     if isinstance(x, list):
         return "[" + ",".join(map(canonical, x)) + "]"
     if isinstance(x, float):
         return number_text(x)
+    if isinstance(x, str):
+        return string_text(x)
     return json.dumps(x, ensure_ascii=False)
 
 
@@ -66,5 +80,3 @@ def canonical_text(json_text: Column) -> Column:
 def doc_equal(a: Column, b: Column) -> Column:
     """Deep equality of two documents; NULL equals NULL. to_json writes keys in order at every level."""
     return F.to_json(F.struct(a.alias("x"), F.schema_of_variant(a).alias("t"))).eqNullSafe(F.to_json(F.struct(b.alias("x"), F.schema_of_variant(b).alias("t"))))
-
-

@@ -55,13 +55,32 @@ def array_overlay(items: Column, changes: Column) -> Column:
     return F.transform(items, lambda x, k: F.coalesce(F.try_element_at(changes, k), x))
 
 
+def array_rest(items: Column, n: int) -> Column:
+    """items from n on; fails if n is past the end."""
+    ok = F.when(F.size(items) >= n, items).otherwise(F.raise_error(F.lit(f"{n} is past the end")).cast("array<variant>"))
+    return F.slice(ok, n + 1, 1 << 30)
+
+
 def dict_count(v: Column) -> Column:
     return F.coalesce(F.size(as_dict(v)), F.lit(0))
 
 
+def dict_is_empty(v: Column) -> Column:
+    """True for an empty dict and for what is none."""
+    return dict_count(v) == 0
+
+
 def dict_get(v: Column, key: str) -> Column:
-    quoted = key.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(v, f"$['{quoted}']", "variant")
+    """The value of a key, whatever characters it has; NULL if there is none or v is no dict."""
+    # Spark's paths know no escapes, so a key is quoted by what it does not contain, or looked up in a map
+    for quote in "'\"":
+        if key and quote not in key and "?" not in key:
+            return F.try_variant_get(v, f"$[{quote}{key}{quote}]", "variant")
+    return F.try_element_at(as_dict(v), F.lit(key))
+
+
+def empty_dict() -> Column:
+    return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
 
 
 def dict_set(d: Column, key: Column, value: Column) -> Column:
@@ -72,6 +91,13 @@ def dict_remove(d: Column, key: Column) -> Column:
     return F.map_filter(d, lambda k, _: k != key)
 
 
+def dict_update(d: Column, changes: Column, removed: Column | None = None) -> Column:
+    """d with the values of changes; keys of removed (names) go first."""
+    kept = F.map_filter(d, lambda k, _: ~F.map_contains_key(changes, k))
+    kept = kept if removed is None else F.map_filter(kept, lambda k, _: ~F.array_contains(removed, k))
+    return F.map_concat(kept, changes)
+
+
 def dict_inherit(parent: Column, child: Column, deleted: Column | None = None) -> Column:
     """child over parent: its values win, its deleted keys are gone."""
     merged = F.map_zip_with(parent, child, lambda k, p, c: F.coalesce(c, p))

@@ -1,52 +1,100 @@
-"""ISO-8601 dates and milliseconds since 1970."""
+"""ISO-8601 dates, times and milliseconds since 1970."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO = (r"^\s*(-?\d{4})-(\d\d)-(\d\d)(?:(?:\s*[Tt]\s*|\s+)(\d\d):(\d\d)(?::(\d\d)(?:\.(\d+))?)?\s*([Zz]|[+-]\d\d:?\d\d)?)?\s*$")
+from varidoc.functions.binding import bind
+
+_TIME = r"(\d\d):(\d\d)(?::(\d\d)(?:\.(\d+))?)?"
+_ZONE = r"([Zz]|[+-]\d\d:?\d\d)"
+ISO = rf"^\s*(-?\d{{4}})-(\d\d)-(\d\d)(?:(\s*[Tt]\s*|\s+){_TIME}\s*{_ZONE}?)?\s*$"
+TIME_ONLY = rf"^\s*{_TIME}\s*$"
 #: Names of date components, as given, and the units that Spark knows them by.
 COMPONENTS = {n: n.upper() for n in ("millennium", "century", "decade", "year", "quarter", "month", "week", "day", "hour", "minute", "second", "millisecond")}
+#: What a zone may be away from UTC at most, in minutes.
+_FARTHEST = 14 * 60 + 59
+
+
+def _number(text: Column) -> Column:
+    return F.coalesce(text.try_cast("int"), F.lit(0))
 
 
 def parts(s: Column) -> Column:
-    """A struct of the date's parts, NULL if s is no date: year, month, day, hour, minute, second, millis,
-    zone (minutes east of UTC, NULL if not given)."""
-    g = [F.regexp_extract(s, ISO, i) for i in range(1, 9)]
-    num = [F.coalesce(x.try_cast("int"), F.lit(0)) for x in g[:6]]
-    millis = F.rpad(F.substring(g[6], 1, 3), 3, "0").try_cast("int")
-    zone = g[7]
-    minutes = F.regexp_extract(zone, r"([+-]\d\d)", 1).try_cast("int") * 60 + F.concat(F.substring(zone, 1, 1), F.substring(zone, -2, 2)).try_cast("int")
+    """A struct of what s says, NULL if it is neither a date, with or without a time, nor a time alone: year,
+    month, day, hour, minute, second, millis (rounded, so that 1000 is possible), zone (minutes east of UTC, NULL
+    if not given), separator (T or a space, NULL without a date and a time), has_date, has_time."""
+    dated = s.rlike(ISO)
+    date = [_number(F.regexp_extract(s, ISO, i)) for i in (1, 2, 3)]
+    clock = [F.when(dated, F.regexp_extract(s, ISO, i)).otherwise(F.regexp_extract(s, TIME_ONLY, i - 4)) for i in (5, 6, 7, 8)]
+    h, mi, sec = map(_number, clock[:3])
+    millis = F.coalesce(F.round(F.concat(F.lit("0."), clock[3]).try_cast("double") * 1000).cast("int"), F.lit(0))
+    zone = F.regexp_extract(s, ISO, 9)
+    minutes = F.concat(F.substring(zone, 1, 1), F.substring(zone, 2, 2)).try_cast("int") * 60 + F.concat(F.substring(zone, 1, 1), F.substring(zone, -2, 2)).try_cast("int")
     zone = F.when(F.upper(zone) == "Z", 0).when(zone != "", minutes)
-    y, mo, d, h, mi, sec = num
+    gap = F.regexp_extract(s, ISO, 4)
+    y, mo, d = date
     last = F.dayofmonth(F.last_day(F.try_make_timestamp(F.greatest(y, F.lit(1)), mo, F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")))
-    fine = s.rlike(ISO) & mo.between(1, 12) & d.between(1, 31) & (d <= F.coalesce(last, F.lit(31))) & (h <= 24) & (mi <= 59) & (sec <= 59) & (F.coalesce(F.abs(zone), F.lit(0)) <= 14 * 60 + 59)
-    return F.when(fine, F.struct(y.alias("year"), mo.alias("month"), d.alias("day"), h.alias("hour"), mi.alias("minute"), sec.alias("second"), F.coalesce(millis, F.lit(0)).alias("millis"), zone.alias("zone")))
+    fine = dated & mo.between(1, 12) & d.between(1, 31) & (d <= F.coalesce(last, F.lit(31))) & (F.coalesce(F.abs(zone), F.lit(0)) <= _FARTHEST)
+    fine = (fine | s.rlike(TIME_ONLY)) & (h <= 24) & (mi <= 59) & (sec <= 59)
+    return F.when(fine, F.struct(
+        y.alias("year"), mo.alias("month"), d.alias("day"), h.alias("hour"), mi.alias("minute"), sec.alias("second"), millis.alias("millis"), zone.alias("zone"),
+        F.when(gap != "", F.when(F.upper(gap).contains("T"), "T").otherwise(" ")).alias("separator"), dated.alias("has_date"), (clock[0] != "").alias("has_time")))
 
 
-def parse_iso8601(s: Column) -> Column:
-    """Milliseconds since 1970; without a zone in the session's time; NULL if s is no date."""
-    p = parts(s)
+def parts_of_millis(ms: Column) -> Column:
+    """The same struct for milliseconds since 1970, in UTC."""
+    # Spark's own components are of the session's time, so these are made from days and the rest
+    days, rest = F.floor(ms / 86400000), F.pmod(ms, F.lit(86400000))
+    date = F.date_from_unix_date(days.cast("int"))
+    number = lambda x: x.cast("int")
+    return F.when(ms.isNotNull(), F.struct(
+        F.year(date).alias("year"), F.month(date).alias("month"), F.dayofmonth(date).alias("day"), number(F.floor(rest / 3600000)).alias("hour"), number(F.floor(rest / 60000) % 60).alias("minute"),
+        number(F.floor(rest / 1000) % 60).alias("second"), number(rest % 1000).alias("millis"), F.lit(0).alias("zone"), F.lit("T").alias("separator"), F.lit(True).alias("has_date"), F.lit(True).alias("has_time")))
+
+
+def millis_of(p: Column) -> Column:
+    """Milliseconds since 1970 of a parts struct; without a zone in the session's time; NULL without a date."""
     date = F.make_date(p["year"], p["month"], p["day"])
     local = F.datediff(date, F.lit("1970-01-01").cast("date")).cast("bigint") * 86400000 + p["hour"] * 3600000 + p["minute"] * 60000 + p["second"] * 1000 + p["millis"]
     wall = F.timestamp_millis(local)  # read as UTC, then as the session's wall clock
-    return F.when(p["zone"].isNotNull(), local - p["zone"] * 60000).otherwise(F.unix_millis(F.to_utc_timestamp(F.from_utc_timestamp(wall, F.lit("UTC")), F.current_timezone())))
+    return F.when(p["has_date"], F.when(p["zone"].isNotNull(), local - p["zone"] * 60000).otherwise(F.unix_millis(F.to_utc_timestamp(wall, F.current_timezone()))))
 
 
-def format_iso8601(ms: Column, utc: bool = True) -> Column:
-    """`YYYY-MM-DDThh:mm:ss[.mmm]` with Z or the session's offset; milliseconds only if there are any."""
+def parse_iso8601(s: Column) -> Column:
+    """Milliseconds since 1970; without a zone in the session's time; NULL if s is no date."""
+    return bind(parts(s), millis_of)
+
+
+def zone_offset(ms: Column) -> Column:
+    """Minutes that the session's time zone is east of UTC at a time."""
     at = F.timestamp_millis(ms)
-    shown = at if utc else F.from_utc_timestamp(at, F.current_timezone())
-    offset = F.lit(0) if utc else ((F.unix_millis(shown) - ms) / 60000).cast("int")
-    zone = F.when(offset == 0, "Z").otherwise(F.concat(F.when(offset < 0, "-").otherwise("+"), F.lpad(F.floor(F.abs(offset) / 60).cast("string"), 2, "0"), F.lpad((F.abs(offset) % 60).cast("string"), 2, "0")))
+    return ((F.unix_millis(F.from_utc_timestamp(at, F.current_timezone())) - ms) / 60000).cast("int")
+
+
+def now() -> Column:
+    """Milliseconds since 1970 at the query's start."""
+    return F.unix_millis(F.current_timestamp())
+
+
+def format_iso8601(ms: Column, utc: bool = True, *, offset: Column | int | None = None, date: bool = True, time: bool = True, zone: bool = True, separator: str = "T") -> Column:
+    """`YYYY-MM-DDThh:mm:ss[.mmm]` and the zone: Z, the session's offset unless utc, or the given one in minutes
+    east. Milliseconds only if there are any. Date, time and zone (which needs a time) may be left out."""
+    shift = F.lit(0) if utc else zone_offset(ms)
+    if offset is not None:
+        shift = F.lit(offset) if isinstance(offset, int) else offset
+    local = ms + shift.cast("bigint") * 60000
+    named = F.when(shift == 0, "Z").otherwise(F.concat(F.when(shift < 0, "-").otherwise("+"), F.lpad(F.floor(F.abs(shift) / 60).cast("string"), 2, "0"), F.lpad((F.abs(shift) % 60).cast("string"), 2, "0")))
     rest = F.pmod(ms, F.lit(1000))
     fraction = F.when(rest != 0, F.concat(F.lit("."), F.lpad(rest.cast("string"), 3, "0"))).otherwise("")
-    days = F.floor(F.unix_millis(shown) / 86400000)
-    seconds = F.pmod(F.floor(F.unix_millis(shown) / 1000), F.lit(86400))
+    days, seconds = F.floor(local / 86400000), F.pmod(F.floor(local / 1000), F.lit(86400))
     two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
-    clock = F.concat(two(F.floor(seconds / 3600)), F.lit(":"), two(F.floor(seconds / 60) % 60), F.lit(":"), two(seconds % 60))
-    return F.concat(F.date_from_unix_date(days.cast("int")).cast("string"), F.lit("T"), clock, fraction, zone)
+    clock = F.concat(two(F.floor(seconds / 3600)), F.lit(":"), two(F.floor(seconds / 60) % 60), F.lit(":"), two(seconds % 60), fraction)
+    shown = [F.date_from_unix_date(days.cast("int")).cast("string")] if date else []
+    if time:
+        shown += [F.lit(separator)] * date + [clock] + [named] * zone
+    return F.concat(*shown) if shown else F.when(ms.isNotNull(), "")
 
 
 def truncate(ms: Column, component: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varidoc.functions.values import doc_type
 
-#: Nesting beyond this is refused by the parsers, so a walk ends here at the latest.
+#: Nesting that a walk follows at most; deeper documents are an error.
 MAX_DEPTH = 100
 
 
@@ -17,6 +17,14 @@ def _type(v: Column) -> Column:
             .when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), "dict").otherwise(doc_type(v)))
 
 
+def nesting(v: Column) -> Column:
+    """How many containers lie around a document's innermost value: 0 for a scalar."""
+    brackets = F.regexp_replace(F.to_json(v), r'"(?:[^"\\]|\\.)*"|[^\[\]{}]', "")
+    steps = F.transform(F.split(F.translate(brackets, "{}", "[]"), ""), lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0))
+    at = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.reduce(steps, at, lambda d, s: F.struct((d["now"] + s).alias("now"), F.greatest(d["most"], d["now"] + s).alias("most")), lambda d: d["most"])
+
+
 def _escaped(key: Column) -> Column:
     return F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
@@ -34,22 +42,23 @@ def doc_walk(df: DataFrame, id_col: str, v: str, *, max_depth: int | None = None
     is opened first: the order in which a single thread with a stack of open containers meets them.
 
     Levels are a chain of explodes in one pass, without a shuffle; with max_depth no job runs before the result
-    is used, without it one small job a level asks whether containers are left. Values under pruned pointers are skipped.
+    is used, without it one job asks for the greatest nesting, which must not exceed MAX_DEPTH. Values under pruned
+    pointers are skipped.
     """
+    if max_depth is None:
+        max_depth = df.agg(F.max(nesting(F.col(v)))).first()[0] or 0
+    if max_depth > MAX_DEPTH:
+        raise ValueError(f"documents are nested {max_depth} deep, and a walk follows {MAX_DEPTH} levels")
     none = F.lit(None)
     root = F.struct(
         F.lit("/").alias("pointer"), F.lit("").alias("path"), none.cast("string").alias("parent_pointer"), none.cast("string").alias("key"), none.cast("int").alias("idx"),
         F.lit(0).alias("depth"), _type(F.col(v)).alias("type"), F.col(v).alias("value"), none.cast("array<int>").alias("visit"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("opened"))
     rows = df.filter(F.col(v).isNotNull()).select(F.col(id_col).alias("id"), root.alias("node"))
     n = F.col("node")
-    for depth in range(1, MAX_DEPTH + 1):
-        if max_depth is not None and depth > max_depth:
-            break
+    for depth in range(1, max_depth + 1):
         open_ = (n["depth"] == depth - 1) & n["type"].isin("array", "dict")
         if prune:
             open_ = open_ & ~n["pointer"].isin(*prune)
-        if max_depth is None and rows.filter(open_).isEmpty():
-            break
 
         def child(key: Column, idx: Column, pos: Column, value: Column, depth: int = depth) -> Column:
             step = F.coalesce(_escaped(key), pos.cast("string"))

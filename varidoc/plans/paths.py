@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from varidoc.functions.collections import array_get, dict_get
-from varidoc.functions.values import doc_type
+from varidoc.functions.binding import bind
+from varidoc.functions.collections import array_get, dict_get, empty_dict
+from varidoc.functions.values import as_array, as_dict, doc_type
 
 _INDEX = re.compile(r"\[(-?\d+)\]")
 _NAME = re.compile(r"(?:\\.|[^\\.\[])+", re.S)
@@ -95,3 +96,67 @@ def doc_pointer(v: Column, pointer: str) -> Column:
         by_key = dict_get(v, key)
         v = F.when(doc_type(v) == "array", F.try_variant_get(v, f"$[{int(key)}]", "variant")).otherwise(by_key) if re.fullmatch(r"0|[1-9]\d{0,8}", key) else by_key
     return v
+
+
+def _step(v: Column, name: Column, index: Column) -> Column:
+    """The value under a name in a dict, or at an index (from the end if negative) in an array."""
+    items = as_array(v)
+    item = F.when(index >= 0, F.get(items, index)).when(index < 0, F.try_element_at(items, index))
+    return F.when(index.isNotNull(), item).otherwise(F.try_element_at(as_dict(v), name))
+
+
+def doc_get_by(v: Column, path: Column) -> Column:
+    """The value at a path that is a column; NULL also where the path is malformed."""
+    fine = path.rlike(r"^(?:\$(?=[.\[]|$))?(?:\.|\[-?\d+\](?=[.\[]|$)|(?:\\.|[^.\[\\$])(?:\\.|[^.\[\\])*)*$") & (path != "")
+    parts = F.regexp_extract_all(F.regexp_replace(path, r"^\$", ""), F.lit(r"(\[-?\d+\]|(?:\\.|[^.\[\\])+)"), F.lit(1))
+    index = lambda p: F.when(p.startswith("["), F.regexp_extract(p, r"^\[(-?\d+)\]$", 1).try_cast("int"))
+    name = lambda p: F.regexp_replace(p, r"\\(.)", "$1")
+    return F.when(fine, F.reduce(parts, v, lambda found, p: _step(found, name(p), index(p))))
+
+
+def doc_pointer_by(v: Column, pointer: Column) -> Column:
+    """The value at a JSON pointer that is a column; NULL also where it does not begin with /."""
+    parts = F.transform(F.split(F.substring(pointer, 2, 1 << 30), "/"), lambda p: F.replace(F.replace(p, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+    index = lambda p: F.when(p.rlike(r"^(?:0|[1-9]\d{0,8})$"), p.try_cast("int"))
+    step = lambda found, p: F.when(doc_type(found) == "array", F.get(as_array(found), index(p))).otherwise(F.try_element_at(as_dict(found), p))
+    return F.when(pointer.isin("", "/"), v).when(pointer.startswith("/"), F.reduce(parts, v, step))
+
+
+def _within(v: Column, parts: tuple[str | int, ...], change) -> Column:
+    """v with change(old value) at the end of a path; NULL where the path does not lead anywhere."""
+    if not parts:
+        return change(v)
+    part, last = parts[0], len(parts) == 1
+
+    def in_array(items: Column) -> Column:
+        at = F.lit(part) if part >= 0 else F.size(items) + part
+        put = lambda new: F.filter(F.transform(items, lambda x, i: F.when(i == at, new).otherwise(x)), lambda x: x.isNotNull())
+        there = (at >= 0) & (at < F.size(items))
+        return F.when(there, bind(_within(F.get(items, at), parts[1:], change), lambda new: F.when(new.isNotNull() | F.lit(last), F.to_variant_object(put(new)))))
+
+    def in_dict(d: Column) -> Column:
+        rest = F.map_filter(d, lambda k, _: k != part)
+        removed = F.when(F.lit(last) & F.map_contains_key(d, part), F.to_variant_object(rest))
+        return bind(_within(F.try_element_at(d, F.lit(part)), parts[1:], change), lambda new: F.when(new.isNotNull(), F.to_variant_object(F.map_concat(rest, F.create_map(F.lit(part), new)))).otherwise(removed))
+
+    if isinstance(part, int):
+        return bind(as_array(v), in_array)
+    return bind(F.coalesce(as_dict(v), F.when(v.isNull(), empty_dict())), in_dict)
+
+
+def doc_update(v: Column, path: KeyPath | str, change) -> Column:
+    """v with change(old value) at a path inside it; the old value is NULL if there is none. Missing dicts on the way
+    are made; where something of another type is in the way, or an index is out of range, v stays as it is. A change
+    to NULL removes the key or item."""
+    parts = (KeyPath.parse(path) if isinstance(path, str) else path).parts
+    return bind(v, lambda v: F.coalesce(_within(v, parts, change), v))
+
+
+def doc_set(v: Column, path: KeyPath | str, value: Column) -> Column:
+    """doc_update with a value (VARIANT)."""
+    return doc_update(v, path, lambda _: value)
+
+
+def doc_remove(v: Column, path: KeyPath | str) -> Column:
+    """v without the key or item at a path."""
+    return doc_set(v, path, F.lit(None).cast("variant"))

@@ -321,3 +321,6 @@ def ten_paths(v: Column) -> list[Column]:
     """Ten reads of an order document, for the bench."""
     paths = ["key", "cust", "status", "total", "date", "priority", "lines[0].part", "lines[0].price", "lines[-1].qty", "lines[1].ship"]
     return [F.to_json(doc_get(v, p)).alias(f"p{i}") for i, p in enumerate(paths)]
+
+
+from varidoc import more_queries  # noqa: E402,F401  registers its queries here
