@@ -17,27 +17,29 @@ BUCKET_ROWS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows that a Python worker turns into Python objects at once, and bytes that one memo may hold.
-PART_ROWS, MEMO_BYTES = 256, 24_000_000
+#: Rows that a Python worker turns into Python objects at once, and bytes that a generation of a memo may take.
+PART_ROWS, MEMO_BYTES = 256, 16_000_000
 
 _memos: list[Memo] = []
 
 
 class Memo:
-    """What a Python worker remembers from row to row of one task, in the dict known. It forgets everything when
-    it holds about `room` bytes, and, unless it is lasting, at the task's end; this bounds memory, not results."""
+    """What a Python worker remembers from row to row, in two generations: known, and the one before it, from which
+    what is asked for again is taken over. Each holds about `room` bytes; unless the memo is lasting it forgets
+    everything at its task's end. This bounds memory, not results."""
 
     def __init__(self, room: int = MEMO_BYTES, *, lasting: bool = False):
         self.known: dict = {}
-        self.room, self.held = room, 0
+        self.old: dict = {}
+        self.room, self.held, self.each = room, 0, 0
         if not lasting:
             _memos.append(self)
 
-    def tidy(self) -> dict:
-        """known, empty if it was too much; what is added after this stays until the next call."""
+    def tidy(self) -> None:
+        """Begins a new generation if this one is full; what is added after this stays until the next call."""
         if self.held > self.room:
-            self.clear()
-        return self.known
+            self.each = self.held // max(1, len(self.known))
+            self.known, self.old, self.held = {}, self.known, 0
 
     def add(self, key, value, size: int):
         """Remembers value, which with its key takes about size bytes, and returns it."""
@@ -45,9 +47,30 @@ class Memo:
         self.known[key] = value
         return value
 
+    def get(self, key):
+        """The value of a key, None if it is not remembered."""
+        value = self.known.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.add(key, value, self.each)
+        return value
+
+    def missing(self, keys: set, *, keep: bool = False) -> list:
+        """The keys that are not remembered; all others are in known after this. keep: in this generation."""
+        if not keep:
+            self.tidy()
+        new = keys.difference(self.known)
+        if not self.old:
+            return [*new]
+        out, old = [], self.old
+        for k in new:
+            if k in old:
+                self.add(k, old[k], self.each)
+            else:
+                out.append(k)
+        return out
+
     def clear(self) -> None:
-        self.known.clear()
-        self.held = 0
+        self.known, self.old, self.held = {}, {}, 0
 
 
 def forget() -> None:
@@ -95,6 +118,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def content(df: DataFrame, without: str | None = None) -> Column:
+    """A hash of a row's columns, but for one; columns that Spark cannot hash (maps, variants) do not count."""
+    kinds = [(c, t) for c, t in df.dtypes if c != without and "map<" not in t and "variant" not in t]
+    return F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c, _ in kinds], F.lit(0))
+
+
 def with_struct(df: DataFrame, struct: Column, names: dict[str, str]) -> DataFrame:
     """df with fields of a struct as columns by other names (fields by names); they take the place of df's own
     columns of these names, compared as Spark compares names."""
@@ -124,9 +153,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(path)
+        df.write.mode("errorifexists").parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out
@@ -140,9 +169,9 @@ class Scratch:
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df, written to the shared folder and read again."""
-    return Scratch(df.sparkSession).write(df, name)
+    return Scratch(df.sparkSession).write(df, name, compression)
 
 
 def buckets_for(rows: int, per_bucket: int = BUCKET_ROWS) -> int:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, in_parts
+from .common import Memo, Scratch, content, in_parts
 
 WORDS = 5
 REGISTERS, BAND, MANTISSA = 128, 4, 10
@@ -60,10 +60,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes. A-Z is lower-cased; words are split at space and tab to return."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    known = _word_hashes.tidy()
-    for w in set(words).difference(known):
+    for w in _word_hashes.missing(set(words)):
         _word_hashes.add(w, xxhash.xxh3_64_intdigest(w), len(w) + 180)
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(_word_hashes.known.__getitem__, words), dtype=np.uint64, count=len(words))
     n = min(WORDS, len(h))
     if not n:
         return h
@@ -76,7 +75,7 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 def remembered_set(text: str) -> np.ndarray:
     """shingle_set, for texts that come again soon."""
-    got = _sets.known.get(text)
+    got = _sets.get(text)
     if got is None:
         _sets.tidy()
         s = shingle_set(text)
@@ -439,8 +438,7 @@ def survivors(docs: DataFrame, row_col: str, *, id_col: str = "doc_id", text_col
 
     Of a group the row of least id stays, null last; of equal ids that of the least set digest, then of the
     least hash of its columns, so that row_col decides between equal rows only."""
-    tie = F.xxhash64(*[c for c in docs.columns if c != row_col])
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), tie.alias("tie"), F.col(row_col).alias("row"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), content(docs, row_col).alias("tie"), F.col(row_col).alias("row"))
     sketch, grouped = _grouped(docs)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "twin", "tie", "row")).alias("best")
     of_sets = sketch.filter("n_shingles > 0").groupBy("node", "twin").agg(best)

@@ -62,10 +62,10 @@ class ToxicityModel:
         tokens = TOKEN.findall(text.lower())
         if not self.scores:
             return [], len(tokens)
-        known = words_of(self)
-        for w in set(tokens).difference(known):
-            _words.add(w, max([self.scores.get(f, 0.0) for f in forms(w)]), len(w) + 150)
-        hits = [(i, s) for i, s in enumerate(map(known.__getitem__, tokens)) if s]
+        memo = words_of(self)
+        for w in memo.missing(set(tokens)):
+            memo.add(w, max([self.scores.get(f, 0.0) for f in forms(w)]), len(w) + 150)
+        hits = [(i, s) for i, s in enumerate(map(memo.known.__getitem__, tokens)) if s]
         return maximal_segments(hits, self.drift), len(tokens)
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, float]:
@@ -80,12 +80,12 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * best + c * math.log1p(total)))))
 
 
-def words_of(model: ToxicityModel) -> dict[str, float]:
-    """The known word scores (0 for a word without one), empty if it was another model's."""
+def words_of(model: ToxicityModel) -> Memo:
+    """The memo of word scores (0 for a word without one), empty if it was another model's."""
     if getattr(_words, "model", None) is not model:
         _words.clear()
         _words.model = model
-    return _words.tidy()
+    return _words
 
 
 def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
