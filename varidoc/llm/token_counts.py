@@ -21,6 +21,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import Memo, in_parts
 
-#: Bytes that a counter's memos of words and chunks may take each, and of pairs of tokens.
-MEMO_BYTES, PAIR_BYTES = 60_000_000, 150_000_000
+#: Bytes that a generation of a counter's memos may take: of words and chunks, and of pairs of tokens.
+MEMO_BYTES, PAIR_BYTES = 100_000_000, 80_000_000
+#: Bits of a token's number in the key of a pair.
+PAIR_BITS = 24
 #: Separators that Python splits at and the tokenizer does not.
 _CONTROL = regex.compile("[\x1c-\x1f]")
 _PRETOKEN = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -61,6 +64,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+def _width(c: str) -> int:
+    """Bytes of a character in UTF-8."""
+    return 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+
+
 def _packed(counts) -> bytes | tuple[int, ...]:
     """Few bytes where that will do, which Python's garbage collector need not visit."""
     return bytes(counts) if max(counts) < 256 else tuple(counts)
@@ -101,7 +109,7 @@ class _OpenWords:
         self.text: list[str] = []
         self.states: list[tuple[int, int, str, str, int, int]] = [(0, 0, "", "", 0, 0)]
         self.symbols: list[str] = []
-        self.last, self.inner = [""], [0]  # as in word_profile, of the open word
+        self.last, self.inner = [0], [0]  # as in word_profile, of the open word
 
     def cut(self, length: int) -> None:
         if length == len(self.text):
@@ -137,13 +145,10 @@ class _OpenWords:
         self.symbols.append(symbol)
         low = max(start, len(self.symbols) - c.longest)
         tail = "".join(self.symbols[low:])
-        here, count, closed = "", 0, 0
+        here, count, closed = 0, 0, 0
         for j in range(low, low + len(tail)):
-            token = tail[j - low :]
-            ended = c.closing.get(token)
-            if ended is None:
-                continue
-            if not here and token in c.vocab and (j == start or c.compatible(last[j], token)):
+            token, ended = c.tokens.get(tail[j - low :], (0, 0))
+            if token and not here and (j == start or c.compatible(last[j], token)):
                 here, count = token, (inner[j] if j > start else 0) + 1
             if ended and not closed and (j == start or c.compatible(last[j], ended)):
                 closed = (inner[j] if j > start else 0) + 1
@@ -166,15 +171,24 @@ class PrefixCounter:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.made = {a + b: (i, a, b) for i, (a, b) in reversed([*enumerate(merges)])}
-        #: Every beginning of a token, with the token that ends a word by it, or "".
-        self.closing = {t.removesuffix(self.end)[:i]: "" for t in self.vocab for i in range(1, len(t) + 1)}
-        self.closing |= {t.removesuffix(self.end): t for t in self.vocab if t.endswith(self.end)}
+        #: Tokens by number, from 1; and for every beginning of a token the numbers of the token that it is inside a
+        #: word and of the token that it is at a word's end, 0 if it is none.
+        self.names = ["", *self.vocab]
+        number = {t: i for i, t in enumerate(self.names)}
+        beginnings = {t.removesuffix(self.end)[:i] for t in self.vocab for i in range(1, len(t) + 1)}
+        self.tokens = {b: (number.get(b, 0), number.get(b + self.end, 0)) for b in beginnings}
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, self.specials)) or r"(?!)")
-        self.longest = max(map(len, self.closing))
+        self.longest = max(map(len, self.tokens))
+        self.found = ahocorasick.Automaton()
+        for b, (token, ended) in self.tokens.items():
+            if token or ended:
+                self.found.add_word(b, (len(b), token, ended))
+        self.found.make_automaton()
         self.symbols = byte_symbols()
+        self.shown = dict(enumerate(self.symbols))
         self.kinds: dict[str, str] = {}
-        self.together, self.words, self.chunks = Memo(PAIR_BYTES, lasting=True), Memo(MEMO_BYTES), Memo(MEMO_BYTES)
+        self.together, self.words, self.chunks = Memo(PAIR_BYTES, lasting=True), Memo(MEMO_BYTES, lasting=True), Memo(MEMO_BYTES, lasting=True)
 
     def kind(self, c: str) -> str:
         """S, L, N or P: space, letter, number or other, as the tokenizer takes it."""
@@ -188,18 +202,18 @@ class PrefixCounter:
             self.kinds[c] = known
         return known
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether left and right stay two tokens when they stand side by side.
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether two tokens stay two when they stand side by side.
 
         Takes the merges that made them back, latest first (of equals the right one), and looks
         whether the two pieces at the seam would have merged before the merge just taken back.
         """
-        pair = (left, right)
-        known = self.together.known.get(pair)
+        pair = left << PAIR_BITS | right
+        known = self.together.get(pair)
         if known is not None:
             return known
         rank, made, known = self.rank, self.made, True
-        l, r = left, right
+        l, r = self.names[left], self.names[right]
         limit = 1 << 60  # the seam must have no merge of a rank below this
         while True:
             if rank.get((l, r), 1 << 61) < limit:
@@ -213,42 +227,33 @@ class PrefixCounter:
             else:
                 limit, r = from_r[0] + 1, from_r[1]
         self.together.tidy()
-        return self.together.add(pair, known, len(left) + len(right) + 250)
+        return self.together.add(pair, known, 100)
 
     def word_profile(self, word: str) -> bytes | tuple[int, ...]:
         """Counts of the encodings of word[:1], word[:2], ... each taken as a whole word; by characters."""
-        known = self.words.known.get(word)
+        known = self.words.get(word)
         if known is not None:
             return known
-        sym = self.symbols
-        text = "".join(sym[b] for b in word.encode("utf-8"))
-        n, vocab = len(text), self.vocab
-        last: list[str] = [""] * (n + 1)  # last token of each prefix inside a longer word
+        raw = word.encode("utf-8")
+        text = raw.decode("latin-1").translate(self.shown)
+        n = len(text)
+        last = [0] * (n + 1)  # last token of each prefix inside a longer word
         inner = [0] * (n + 1)
         closed = [0] * (n + 1)  # counts of each prefix that ends its word
-        together, closing = self.together.known, self.closing
-        for j in range(n):
-            before, count = last[j], inner[j] + 1
-            for i in range(j + 1, n + 1):
-                token = text[j:i]
-                ended = closing.get(token)
-                if ended is None:
-                    break  # no token of the vocabulary begins so
-                if token in vocab and not last[i]:
-                    ok = not j or together.get((before, token))
-                    if ok is None:
-                        ok = self.compatible(before, token)
-                    if ok:
-                        last[i], inner[i] = token, count
-                if ended and not closed[i]:
-                    ok = not j or together.get((before, ended))
-                    if ok is None:
-                        ok = self.compatible(before, ended)
-                    if ok:
-                        closed[i] = count
+        together, compatible = self.together.known.get, self.compatible
+        for end, (length, token, ended) in self.found.iter(text):  # the tokens that end at each place, places in order
+            i = end + 1
+            j = i - length
+            if token and not last[i]:
+                ok = not j or together(last[j] << PAIR_BITS | token)
+                if compatible(last[j], token) if ok is None else ok:
+                    last[i], inner[i] = token, inner[j] + 1
+            if ended and not closed[i]:
+                ok = not j or together(last[j] << PAIR_BITS | ended)
+                if compatible(last[j], ended) if ok is None else ok:
+                    closed[i] = inner[j] + 1
         if len(word) != n:
-            ends = itertools.accumulate(len(c.encode("utf-8")) for c in word)
-            known = _packed([closed[e] for e in ends])
+            known = _packed([closed[e] for e in itertools.accumulate(map(_width, word))])
         else:
             known = _packed(closed[1:])
         self.words.tidy()
@@ -256,7 +261,7 @@ class PrefixCounter:
 
     def profile(self, chunk: str) -> bytes | tuple[int, ...]:
         """Counts of the encodings of chunk[:1], chunk[:2], ..., chunk."""
-        known = self.chunks.known.get(chunk)
+        known = self.chunks.get(chunk)
         if known is not None:
             return known
         low = chunk.lower()
