@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .ann import op5_ann
 from .language_id import op3_language_id
-from .media import op1_media
+from .media import media_pages, op1_media
 from .mixing import op4_mixing
 from .near_dedup import op9_near_dedup
 from .packing import op2_packing
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
+    "media_pages": media_pages,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
