@@ -5,7 +5,8 @@ knows every language's spelling and never meets an unknown word. Four characters
 key. Only the counts of 4-grams are gathered from the texts; lower orders count distinct left neighbours, and
 contexts their followers, by grouping keys: joins of sharded tables give each gram's discounted probability
 and each context's back-off weight. Documents are dealt into blocks by a hash; a block asks for the distinct
-grams of all its texts, the request is joined with the model's shards, and the answers meet the block again.
+grams of all its texts, the request is joined with the model's shards, and the answers meet the block again; a
+task has one block.
 No task and no driver holds the model, and a gram that all documents have is asked for once a block.
 
 A language's threshold is a quantile of its trusted documents' perplexity, taken on the trusted rows that
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_parts, written
 from .language_id import held_out
 
 ORDER = 4
 #: Text of a block, about.
 BLOCK_BYTES = 12_000_000
+#: Blocks that are dealt to a task of their own at most; more are dealt to as many tasks by a hash.
+TASKS = 20_000
 #: Trusted ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 QUANTILE = 0.995
@@ -73,7 +76,7 @@ def count_fourgrams(texts: DataFrame) -> DataFrame:
             for i in range(0, len(k), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 200_000].astype(np.int64)), pa.array(n[i : i + 200_000])], ["gram", "n"])
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(in_parts(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def train(texts: DataFrame) -> tuple[DataFrame, float] | None:
@@ -138,7 +141,10 @@ def _distinct(texts: list[str | None]) -> np.ndarray:
 def perplexities(docs: DataFrame, model: DataFrame, unseen: float, *, blocks: int) -> DataFrame:
     """doc_id, lang, n_chars, perplexity for docs (doc_id, lang, text)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    deal = lambda df: df.repartitionById(blocks, "block") if blocks <= TASKS else df.repartition(TASKS, "block")
+    # rows that agree in id and text are spread by their place in the input
+    spread = F.xxhash64("doc_id", "text", F.monotonically_increasing_id() % 1024)
+    dealt = deal(docs.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int")))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -154,7 +160,7 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, *, blocks: in
                 part = wanted[i : i + 200_000].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, dtype=np.int32)), pa.array(part)], ["block", "gram"])
 
-    answers = dealt.mapInArrow(ask, "block int, gram long").join(model, "gram").select("block", "gram", "alpha", "gamma")
+    answers = deal(dealt.mapInArrow(in_parts(ask), "block int, gram long").join(model, "gram").select("block", "gram", "alpha", "gamma"))
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         keys = answers.column("gram").to_numpy().astype(np.uint64)
@@ -186,7 +192,7 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, *, quantile: float = QUANTI
         none = F.lit(None).cast("double")
         return docs.select("doc_id", "lang", F.lit(0).cast("long").alias("n_chars"), none.alias("perplexity"), none.alias("threshold"), F.lit(False).alias("kept"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    scored = written(perplexities(docs, *got, blocks=max(1, -(-size // BLOCK_BYTES))), "quality-scores")
+    scored = written(perplexities(docs, *got, blocks=max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES))), "quality-scores")
     sure = scored.join(mark, F.col("doc_id") == F.col("_id"), "left_semi").filter(judge & F.col("perplexity").isNotNull())
     q = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
     by_lang = sure.groupBy(F.col("lang").alias("_lang")).agg(q.alias("threshold"))
