@@ -243,7 +243,7 @@ def test_media(spark, odd, empty):
     want = []
     for r in docs.collect():
         p = media.payload_of(r["text"])
-        want.append((str(r["doc_id"]), len((r["text"] or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), f"{len((r['text'] or '').encode())} bytes", len(r["text"]) if (r["text"] or "").strip() else 0))
+        want.append((str(r["doc_id"]), len((r["text"] or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), f"{len((r['text'] or '').encode())} bytes", len((r["text"] or "").partition("\n")[0]) if (r["text"] or "").partition("\n")[0].strip() else 0))  # the figure stands behind the first line
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["caption"], r["text_offset"]) for r in got) == sorted(want)
     assert media.sequences(media.as_pages(empty.select("doc_id", "text")), id_col="doc_id").count() == 0
     whole = {r["doc_id"]: r["items"] for r in media.sequences(media.as_pages(docs), id_col="doc_id").collect()}

@@ -1,0 +1,89 @@
+"""Registered queries against their SQL, and tables whose extra columns have the operators' names."""
+
+import os
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from varidoc.llm import language_id, near_dedup, packing, quality, sharding, token_counts, toxicity
+from varidoc.llm.queries import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_agrees_with_sql(spark, sf, name):
+    con = duckdb.connect()
+    path = f"{sf}/documents.parquet"
+    con.sql(f"create view documents as select * from '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    df = QUERIES[name](spark, sf)
+    want = con.sql(ORACLE_SQL[name])
+    plain = lambda x: float(f"{x:.9g}") if isinstance(x, float) else x
+    rows = [tuple(plain(r[c]) for c in want.columns) for r in df.collect()]
+    assert sorted(df.columns) == sorted(want.columns)
+    assert sorted(map(repr, rows)) == sorted(repr(tuple(map(plain, r))) for r in want.fetchall())
+
+
+NAMES = "lang_pred lang_score toxic_score toxic_passages _language _toxicity made row plays play _row size node twin registers slice order digest salt at text_crc32 n_tokens doc_tokens sequence_id block gram score part".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(odd):
+    return odd.drop("size", "node", "score").withColumns({n: F.lit(f"own {n}") for n in NAMES})
+
+
+def test_predictions_take_the_place_of_columns(clashing):
+    got = language_id.with_language(clashing, language_id.fit(clashing))
+    assert got.count() == clashing.count() and {*got.columns} == {*clashing.columns}
+    assert {r["lang_pred"] for r in got.collect()} <= {"en", "de", "und"} and {r["toxic_score"] for r in got.collect()} == {"own toxic_score"}
+    model = toxicity.ToxicityModel({"fox": 3.0}, -0.5, 1.0, 0.0, (-1.0, 1.0, 0.0))
+    got = toxicity.with_toxicity(clashing, model)
+    assert {*got.columns} == {*clashing.columns} and all(0 < r["toxic_score"] < 1 and r["_toxicity"] == "own _toxicity" for r in got.collect())
+
+
+def test_other_operators_do_not_read_them(clashing):
+    n = clashing.count()
+    assert near_dedup.near_duplicates(clashing).count() == token_counts.token_counts(clashing).count() == n
+    assert sharding.kd_shards(clashing, sharding.text_dimensions(F.col("text")), leaves=3).count() == n
+    assert packing.pack(clashing).agg(F.sum("length")).first()[0] == sum(r["doc_tokens"] for r in packing.pack(clashing.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])).select("doc_id", "doc_tokens", "start").filter("start = 0").collect()) + _rest(clashing)
+    assert quality.quality(clashing, clashing.select(F.col("doc_id").alias("_id"))).count() == n
+
+
+def _rest(docs):
+    """Tokens of the rows that a set of ids and texts counts once, and of those without an id."""
+    c = token_counts.counter(token_counts.tokenizer_path())
+    seen, rest = set(), 0
+    for r in docs.collect():
+        key = (r["doc_id"], r["text"])
+        if r["doc_id"] is None or key in seen:
+            rest += c.count(r["text"] or "") + 1
+        seen.add(key)
+    return rest
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_toxicity_against_brute_force(spark, seed):
+    """Scores and passages of the whole operator: log-odds, drift, scale, calibration, curve."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefghijkl", k=rng.randint(2, 8))) for _ in range(80)]
+    bad = ["vilest", "nastyhead", "scumbag", "filthy"]
+    rows = []
+    for i in range(160):
+        text = rng.choices(words, k=rng.randint(1, 70))
+        if i % 3 == 0:
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(text))
+                text[at : at + 2] = rng.choices(bad, k=rng.randint(1, 3))
+        rows.append((i, " ".join(text)))
+    labels = [(i, int(any(b in t for b in bad))) for i, t in rows if i % 7]
+    docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string").repartition(3)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = {r["doc_id"] for r in docs.filter(language_id.held_out()).collect()}
+    train = [(dict(rows)[i], y) for i, y in labels if i not in held]
+    want = dict(zip([*range(160), 900, 901], brute.toxicity(train, [t for _, t in rows] + [None, ""])))
+    got = toxicity.with_toxicity(docs, model).collect()
+    assert len(got) == 162
+    for r in got:
+        p, spots = want[r["doc_id"]]
+        assert r["toxic_score"] == pytest.approx(p, abs=1e-6) and [(s["first"], s["end"]) for s in r["toxic_passages"]] == spots
