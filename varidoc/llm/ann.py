@@ -67,13 +67,13 @@ class Router:
         return out
 
 
-def _neighbours(x: np.ndarray, own: np.ndarray, k: int, block: int = 1000) -> np.ndarray:
+def _neighbours(x: np.ndarray, own: np.ndarray, k: int, block: int = 250) -> np.ndarray:
     """Exact neighbours by inner product of the rows own of x, in blocks; a vector is not its own neighbour."""
     out = np.empty((len(own), k), dtype=np.int64)
     for a in range(0, len(own), block):
         s = x[own[a : a + block]] @ x.T
         s[np.arange(len(s)), own[a : a + block]] = -np.inf
-        out[a : a + block] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[a : a + block] = np.argpartition(s, len(x) - k, axis=1)[:, len(x) - k :]
     return out
 
 
@@ -119,6 +119,11 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int) -> np.ndarray:
     return part
 
 
+def _blocks(x: np.ndarray, rows: int = 1000) -> list[np.ndarray]:
+    """x in blocks of rows, so that the driver holds no large table beside it."""
+    return [x[a : a + rows] for a in range(0, len(x), rows)]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -143,10 +148,10 @@ def train(x: np.ndarray, part: np.ndarray, graph: np.ndarray, parts: int, rounds
             g = z[batch].T @ off / len(batch) + 1e-5 * w
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w = w - 0.02 / scale * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    logits, best = x @ w[:-1], None
+    logits, best = (x @ w[:-1]).astype(np.float32), None
     bias = w[-1].copy()
-    for i in range(60):
-        size = np.bincount((logits + bias).argmax(axis=1), minlength=parts)
+    for i in range(40):
+        size = sum(np.bincount((z + bias.astype(np.float32)).argmax(axis=1), minlength=parts) for z in _blocks(logits))
         if best is None or size.max() < best[0]:
             best = size.max(), bias.copy()
         bias -= 0.3 / (1 + i / 10) * np.clip(np.log((size + 0.5) / (len(x) / parts)), -1, 1)
@@ -165,8 +170,9 @@ def fit(vectors: DataFrame, rows: int, *, sample_rows: int = SAMPLE_ROWS, k: int
     known, k = x[~judge], min(k, int((~judge).sum()) - 1)
     own = _neighbours(known, np.arange(len(known)), k)
     w = train(known, balanced_parts(known, own, parts), own, parts)
-    logits = x @ w[:-1] + w[-1]
-    placed, routes = logits.argmax(axis=1), np.argsort(-logits[judge], axis=1, kind="stable")
+    router = Router(w, parts)
+    placed = np.concatenate([*map(router.place, _blocks(x))])
+    routes = np.argsort(-router.logits(x[judge]), axis=1, kind="stable")
     turn = np.empty_like(routes)  # when a judge comes to a part
     np.put_along_axis(turn, routes, np.broadcast_to(np.arange(parts), routes.shape), axis=1)
     # the k nearest of all rows are as near as so many of the sample
