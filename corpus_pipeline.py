@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varidoc.llm import language_id, mixing, near_dedup, packing, toxicity
-from varidoc.llm.common import fresh, written
+from varidoc.llm.common import content, fresh, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix plays them: not at all, once or twice. Plays belong to rows; the mix is
     shuffled by id and content, so row numbers decide between equal rows only."""
     rows, row = _numbered(docs)
-    plays = mixing.mix(rows, keep=row, tie=F.xxhash64(*docs.columns)).filter("plays > 0").select(F.col("kept").alias(row), "plays")
+    plays = mixing.mix(rows, keep=row, tie=content(docs)).filter("plays > 0").select(F.col("kept").alias(row), "plays")
     played, play = rows.join(plays.withColumnRenamed("plays", fresh(rows, "plays")), row), fresh(docs, "play")
     return played.withColumn(play, F.explode(F.sequence(F.lit(1), F.col(fresh(rows, "plays"))))).select(docs.columns)
 
