@@ -16,6 +16,9 @@ give no pieces. Columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,34 +34,78 @@ from .common import BUCKET_ROWS, Memo, buckets_for, in_parts, slice_of, with_run
 from .token_counts import chunks_of, settled, tokenizer_path
 
 
+#: A full stop or comma behind a letter and before white space, which the tokenizer takes as a word of its own.
+_STOP = re.compile("(?<=[a-zß-öø-ÿāăąćčďđēėęěğģīįķļľłńņňōőœŕřśşšťţūůűųźżžа-яё])[.,](?=[ \n])")
+#: Bytes that a generation of a worker's memo of chunks may take.
+MEMO_BYTES = 40_000_000
+
+
 class Encoder:
     """Ids of whole texts. White space parts the tokenizer's words, so a text's ids are its chunks' ids."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.memo = Memo()
+        spec = json.load(open(path, encoding="utf-8"))
+        suffix = spec["model"].get("end_of_word_suffix")
+        #: Whether an id ends a word, where the vocabulary says so.
+        self.ends = np.array([bool(suffix) and (self.library.id_to_token(i) or "").endswith(suffix) for i in range(self.library.get_vocab_size())])
+        #: The library without the steps that leave words of small letters as they are.
+        self.small = Tokenizer.from_file(path)
+        self.small.normalizer = None
+        self.small.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.memo = Memo(MEMO_BYTES, lasting=True)
+        self.sure: set[str] = set()
+
+    def encode_each(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: as one text, where the ends of words can be told in its ids."""
+        text = " ".join(words)
+        plain = text.isascii() or unicodedata.is_normalized("NFC", text)
+        library = self.small if plain and text == text.lower() else self.library
+        ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self.encode_each(words)
+        raw, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+    def sure_classes(self, word: str) -> bool:
+        """Whether the tokenizer's classes of all characters are known."""
+        if not self.sure.issuperset(word):
+            if not all(map(settled, word)):
+                return False
+            self.sure.update(word)
+        return True
+
+    def learn(self, chunks: list[str]) -> None:
+        """Remembers the ids of chunks."""
+        words, others = [], []
+        for c in chunks:
+            (words if c.isalpha() and (c.isascii() or self.sure_classes(c)) else others).append(c)
+        for made, ids in ((words, self.encode_words(words) if words else []), (others, self.encode_each(others) if others else [])):
+            for c, i in zip(made, ids):
+                self.memo.add(c, i, len(c) + len(i) + 150)
 
     def ids(self, text: str, last: bytes) -> np.ndarray:
         if "<|" not in text and "\u03a3" not in text and "\u0130" not in text:
-            text = text.lower()  # as the tokenizer does; fewer distinct chunks
+            text = _STOP.sub(r" \g<0>", text.lower())  # as the tokenizer does; fewer distinct chunks
         chunks = chunks_of(text)
-        memo, known = self.memo, self.memo.known
-        distinct = set(chunks)
-        new = distinct.difference(known)
-        if new:
-            if memo.held > memo.room:
-                memo.clear()
-                new = distinct
-            # a word and the full stop or comma after it are two words of the tokenizer
-            ended = [c for c in new if c[-1] in ".," and c[:-1].isalpha() and (c.isascii() or all(map(settled, c)))]
-            plain = [*(new.difference(ended) | {c[:-1] for c in ended}.difference(known) | {".", ","}.difference(known))]
-            for chunk, e in zip(plain, self.library.encode_batch_fast(plain, add_special_tokens=False)):
-                memo.add(chunk, array("I", e.ids).tobytes(), len(chunk) + 4 * len(e.ids) + 180)
-            for c in ended:
-                memo.add(c, known[c[:-1]] + known[c[-1]], len(c) + 200)
-        return np.frombuffer(b"".join([*map(known.__getitem__, chunks), last]), dtype="<u4")
+        self.memo.tidy()
+        found = [*map(self.memo.known.get, chunks)]
+        lost = [at for at, ids in enumerate(found) if ids is None]
+        if lost:
+            new = self.memo.missing({chunks[at] for at in lost}, keep=True)
+            if new:
+                self.learn(new)
+            known = self.memo.known
+            for at in lost:
+                found[at] = known[chunks[at]]
+        found.append(last)
+        return np.frombuffer(b"".join(found), dtype="<u4")
 
 
 _encoders: dict[str, Encoder] = {}
