@@ -9,23 +9,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varidoc.functions.binding import bind
+
 _LENIENT = {"allowComments": "true", "allowSingleQuotes": "true", "allowUnquotedFieldNames": "true", "allowNumericLeadingZeros": "true", "mode": "PERMISSIVE"}
 #: Strings and comments, which are kept as they are; and the commas and signs that JSON does not know.
 _TRAILING = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|//[^\n]*|/\*[\s\S]*?\*/"""
 
 
 def parse(text: Column) -> Column:
-    """The document, failing on malformed text, also where something follows the value. Keys must not repeat."""
-    v = try_parse(text)
-    why = F.concat(F.lit("malformed JSON at character "), F.coalesce(parse_error(text)["position"].cast("string"), F.lit("?")), F.lit(": "), F.coalesce(parse_error(text)["message"], F.lit("a key repeats")))
-    return F.when(text.isNull() | v.isNotNull(), v).otherwise(F.raise_error(why).cast("variant"))
+    """The document, failing on malformed text, also where something follows the value. Keys must not repeat.
+    parse_error tells what is wrong and where."""
+
+    def sure(v: Column) -> Column:
+        why = F.concat(F.lit("malformed JSON: "), F.substring(text, 1, 200))
+        return F.when(text.isNull() | v.isNotNull(), v).otherwise(F.raise_error(why).cast("variant"))
+
+    return bind(try_parse(text), sure)
 
 
 def try_parse(text: Column) -> Column:
     """The document, NULL for malformed text, also where something follows the value."""
-    whole = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit(',"y":0}')))  # so that the parser must reach the end
-    ended = F.try_variant_get(whole, "$.y", "int").isNotNull() & (F.size(F.try_variant_get(whole, "$", "map<string,variant>")) == 2)
-    return F.when(ended, F.try_variant_get(whole, "$.x", "variant"))
+
+    def ended(whole: Column) -> Column:
+        fine = F.try_variant_get(whole, "$.y", "int").isNotNull() & (F.size(F.try_variant_get(whole, "$", "map<string,variant>")) == 2)
+        return F.when(fine, F.try_variant_get(whole, "$.x", "variant"))
+
+    # the text stands inside a dict, so that the parser must reach its end
+    return bind(F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit(',"y":0}'))), ended)
 
 
 def is_valid(text: Column) -> Column:
