@@ -14,10 +14,10 @@ def parse_integer(s: Column, trailing: bool = False) -> Column:
     return head.try_cast("bigint")
 
 
-def parse_unsigned(s: Column) -> Column:
-    """An unsigned 64-bit integer as DECIMAL(20,0), NULL if s is none."""
+def parse_unsigned(s: Column, wide: bool = False) -> Column:
+    """An unsigned 64-bit integer as DECIMAL(20,0), NULL if s is none; wide takes every integer of 20 digits."""
     head = F.regexp_extract(s, r"^\s*\+?([0-9]+)\s*$", 1).try_cast("decimal(38,0)")
-    return F.when((head >= 0) & (head < F.expr("18446744073709551616BD")), head.cast("decimal(20,0)"))
+    return F.when((head >= 0) & (head < F.expr("100000000000000000000BD" if wide else "18446744073709551616BD")), head.cast("decimal(20,0)"))
 
 
 def parse_double(s: Column, trailing: bool = False) -> Column:
