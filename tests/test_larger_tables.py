@@ -36,6 +36,6 @@ def agrees(spark, folder, name):
     assert got and got == sorted(repr(list(map(plain, r))) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["narrow_numbers", "parse_numbers"])
+@pytest.mark.parametrize("name", ["narrow_numbers", "parse_numbers", "number_texts"])
 def test_numbers_of_larger_tables(spark, large, name):
     agrees(spark, large, name)

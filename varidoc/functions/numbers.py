@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from varidoc.functions.binding import bind
+from varidoc.functions.canonical import number_text
 
 
 def parse_integer(s: Column, trailing: bool = False) -> Column:
@@ -45,56 +49,15 @@ def is_float_representable(x: Column) -> Column:
     return x.cast("float").cast("double") == x
 
 
-def _shortest(digits: Column, power: Column, x: Column) -> Column:
-    """The fewest digits that read back as x, and the power of ten of the first: Java may give a few too many."""
-    whole, n = digits.cast("decimal(20,0)"), F.length(digits)
-
-    def at(k: Column) -> Column:
-        """The nearest number of k digits, then those below and above it."""
-        near = F.floor(whole / F.pow(F.lit(10.0), n - k).cast("decimal(18,0)") + F.expr("0.5BD")).cast("decimal(20,0)")
-        return bind(near, lambda near: F.transform(F.array(near, near - 1, near + 1), lambda d: F.struct(d.cast("decimal(20,0)").cast("string").alias("digits"), (power - n + 1 + (n - k)).alias("unit"))))
-
-    fewer = F.flatten(F.transform(F.sequence(F.greatest(n - 3, F.lit(1)), n), at))
-    back = lambda f: F.concat(f["digits"], F.lit("E"), f["unit"].cast("string")).cast("double") == F.abs(x)
-    return F.get(F.filter(F.concat(fewer, F.array(F.struct(digits.alias("digits"), (power - n + 1).alias("unit")))), back), F.lit(0))
-
-
-def _laid_out(best: Column, x: Column) -> Column:
-    """A number's text from its digits and the power of ten of the last."""
-    power = F.length(best["digits"]) - 1 + best["unit"]  # of the first digit
-    return bind(F.struct(F.regexp_replace(best["digits"], r"(?<=.)0+$", "").alias("digits"), power.alias("power")), lambda b: _placed(b["digits"], b["power"], x))
-
-
-def _placed(digits: Column, power: Column, x: Column) -> Column:
-    n = F.length(digits)
-    whole = F.concat(F.rpad(digits, F.greatest(power + 1, n), "0"))
-    plain = (F.when(power >= n - 1, F.concat(whole, F.lit(".0")))
-             .when(power >= 0, F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, n)))
-             .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)))
-    mantissa = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(digits)
-    exponent = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), "0"))
-    return F.when((F.abs(x) < 1e-4) | (F.abs(x) > 9007199254740992.0), F.concat(mantissa, exponent)).otherwise(plain)
-
-
-def _of_java(text: Column, x: Column) -> Column:
-    """The shortest text of a finite number other than 0, from Java's: plain from 1e-3 below 1e7, else d.dddEn."""
-    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)", 1), r"\.", "")
-    digits = F.regexp_replace(F.regexp_replace(digits, r"^0+(?=.)", ""), r"(?<=.)0+$", "")
-    power = F.when(text.contains("E"), F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")).otherwise(
-        F.when(F.abs(x) >= 1, F.length(F.regexp_extract(text, r"^-?([0-9]+)", 1)) - 1).otherwise(-1 - F.length(F.regexp_extract(text, r"^-?0\.(0*)", 1))))
-    best = bind(F.struct(digits.alias("digits"), power.alias("power")), lambda b: _shortest(b["digits"], b["power"], x))
-    return F.concat(F.when(x < 0, "-").otherwise(""), bind(best, lambda b: _laid_out(b, x)))
+def _texts(numbers: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in numbers:
+        yield pa.array([None if x is None or not math.isfinite(x) else number_text(x) for x in batch.to_pylist()], pa.string())
 
 
 def format_double(x: Column) -> Column:
-    """Shortest text that reads back as x: `.0` on whole numbers, an exponent below 1e-4 and above 2^53. NULL for
-    what is no number or infinite."""
-
-    def shown(x: Column) -> Column:
-        zero = F.when(x.cast("string").startswith("-"), "-0.0").otherwise("0.0")
-        return F.when(x == 0, zero).when(~F.isnan(x) & (F.abs(x) != float("inf")), bind(x.cast("string"), lambda text: _of_java(text, x)))
-
-    return bind(x, shown)
+    """Shortest text that reads back as x, of such texts the nearest to x: `.0` on whole numbers, an exponent below
+    1e-4 and above 2^53. NULL for what is no number or infinite. Java before 19 knows no such text."""
+    return F.arrow_udf(_texts, "string")(x.cast("double"))
 
 
 def finite(x: Column) -> Column:
