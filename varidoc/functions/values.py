@@ -17,11 +17,25 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def is_dict(v: Column) -> Column:
+    """Whether a document is a dict, without looking into its values."""
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
+
+
+def is_array(v: Column) -> Column:
+    """Whether a document is an array, without looking into its items."""
+    return F.try_variant_get(v, "$", "array<boolean>").isNotNull()
+
+
+#: Types of scalars by Spark's names; all others are numbers.
+_SCALARS = {"VOID": "null", "BOOLEAN": "boolean", "STRING": "string", "BINARY": "data"}
+
+
 def doc_type(v: Column) -> Column:
     """undefined, null, boolean, number, string, data, array or dict."""
-    k = _kind(v)
-    return (F.when(v.isNull(), "undefined").when(k == "VOID", "null").when(k == "BOOLEAN", "boolean").when(k == "STRING", "string")
-            .when(k == "BINARY", "data").when(k.startswith("ARRAY"), "array").when(k.startswith("OBJECT"), "dict").otherwise("number"))
+    # the schema of a container is that of all it holds, so only scalars are asked for it, once
+    scalar = F.try_element_at(F.create_map(*[F.lit(x) for pair in _SCALARS.items() for x in pair]), _kind(v))
+    return F.when(v.isNull(), "undefined").when(is_dict(v), "dict").when(is_array(v), "array").otherwise(F.coalesce(scalar, F.lit("number")))
 
 
 def is_number(v: Column) -> Column:
@@ -57,8 +71,9 @@ def as_int(v: Column) -> Column:
     """Numbers truncate toward zero; unsigned integers wrap; true is 1; anything else is 0."""
     t = doc_type(v)
     wrapped = (_wide(v) - F.expr("18446744073709551616BD")).cast("bigint")
-    number = F.when(is_unsigned(v), wrapped).when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint")).otherwise(F.try_variant_get(v, "$", "double").cast("bigint"))
-    return F.when(t == "number", number).when(t == "boolean", F.try_variant_get(v, "$", "boolean").cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    other = F.when(is_unsigned(v), wrapped).otherwise(F.try_variant_get(v, "$", "double").cast("bigint"))
+    return (F.when(~is_dict(v) & ~is_array(v) & (_kind(v) == "BIGINT"), F.try_variant_get(v, "$", "bigint")).when(t == "number", other)
+            .when(t == "boolean", F.try_variant_get(v, "$", "boolean").cast("bigint")).otherwise(F.lit(0).cast("bigint")))
 
 
 def as_unsigned(v: Column) -> Column:
@@ -84,12 +99,12 @@ def as_data(v: Column) -> Column:
 
 def as_array(v: Column) -> Column:
     """ARRAY<VARIANT>, NULL unless an array."""
-    return F.when(_kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def as_dict(v: Column) -> Column:
     """MAP<STRING, VARIANT> in key order, NULL unless a dict."""
-    return F.when(_kind(v).startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>"))
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
 def as_timestamp_ms(v: Column) -> Column:

@@ -93,8 +93,8 @@ def doc_pointer(v: Column, pointer: str) -> Column:
         raise ValueError(f"{pointer!r} does not begin with /")
     for part in pointer[1:].split("/"):
         key = part.replace("~1", "/").replace("~0", "~")
-        by_key = dict_get(v, key)
-        v = F.when(doc_type(v) == "array", F.try_variant_get(v, f"$[{int(key)}]", "variant")).otherwise(by_key) if re.fullmatch(r"0|[1-9]\d{0,8}", key) else by_key
+        # what is an array has no key, what is a dict has no index
+        v = F.coalesce(F.try_variant_get(v, f"$[{int(key)}]", "variant"), dict_get(v, key)) if re.fullmatch(r"0|[1-9]\d{0,8}", key) else dict_get(v, key)
     return v
 
 
