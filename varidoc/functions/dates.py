@@ -25,22 +25,40 @@ def parts(s: Column) -> Column:
     """A struct of what s says, NULL if it is neither a date, with or without a time, nor a time alone: year,
     month, day, hour, minute, second, millis (rounded, so that 1000 is possible), zone (minutes east of UTC, NULL
     if not given), separator (T or a space, NULL without a date and a time), has_date, has_time."""
-    dated = s.rlike(ISO)
-    date = [_number(F.regexp_extract(s, ISO, i)) for i in (1, 2, 3)]
-    clock = [F.when(dated, F.regexp_extract(s, ISO, i)).otherwise(F.regexp_extract(s, TIME_ONLY, i - 4)) for i in (5, 6, 7, 8)]
+    # a text that matches becomes its groups between bars, in one pass each; another one stays as it is
+    def groups(pattern: str, shown: list[str], otherwise: Column) -> Column:
+        return bind(F.regexp_replace(s, pattern, "|".join([*shown, ""])), lambda found: F.when(found != s, F.split(found, r"\|")).otherwise(otherwise))
+
+    time = groups(TIME_ONLY, ["t", "", "", "", "", "$1", "$2", "$3", "$4", ""], F.lit(None).cast("array<string>"))
+    return bind(groups(ISO, ["d", *(f"${i}" for i in range(1, 10))], time), _parts)
+
+
+def _parts(groups: Column) -> Column:
+    """parts, from the array of the kind, d or t, and the groups of ISO."""
+    group = [F.get(groups, F.lit(i)) for i in range(10)]
+    dated = group[0] == "d"
+    date, clock = [_number(x) for x in group[1:4]], group[5:9]
     h, mi, sec = map(_number, clock[:3])
-    millis = F.coalesce(F.round(F.concat(F.lit("0."), clock[3]).try_cast("double") * 1000).cast("int"), F.lit(0))
-    zone = F.regexp_extract(s, ISO, 9)
+    millis = F.when(clock[3] == "", 0).otherwise(F.coalesce(F.round(F.concat(F.lit("0."), clock[3]).try_cast("double") * 1000).cast("int"), F.lit(0)))
+    return bind(F.struct(*[x.alias(n) for n, x in zip(("y", "mo", "d", "h", "mi", "sec"), (*date, h, mi, sec))], millis.alias("millis"), _zone(group[9]).alias("zone")), lambda n: _checked(n, dated, group[4], clock[0]))
+
+
+def _zone(zone: Column) -> Column:
+    """Minutes east of UTC, NULL for an empty text."""
     minutes = F.concat(F.substring(zone, 1, 1), F.substring(zone, 2, 2)).try_cast("int") * 60 + F.concat(F.substring(zone, 1, 1), F.substring(zone, -2, 2)).try_cast("int")
-    zone = F.when(F.upper(zone) == "Z", 0).when(zone != "", minutes)
-    gap = F.regexp_extract(s, ISO, 4)
-    y, mo, d = date
-    last = F.dayofmonth(F.last_day(F.try_make_timestamp(F.greatest(y, F.lit(1)), mo, F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")))
-    fine = dated & mo.between(1, 12) & d.between(1, 31) & (d <= F.coalesce(last, F.lit(31))) & (F.coalesce(F.abs(zone), F.lit(0)) <= _FARTHEST)
-    fine = (fine | s.rlike(TIME_ONLY)) & (h <= 24) & (mi <= 59) & (sec <= 59)
+    return F.when(zone.isin("Z", "z"), 0).when(zone != "", minutes)
+
+
+def _checked(n: Column, dated: Column, gap: Column, hours: Column) -> Column:
+    """The struct of parts, NULL if one of the numbers is out of its range."""
+    y, mo, d, h, mi, sec, millis, zone = (n[c] for c in ("y", "mo", "d", "h", "mi", "sec", "millis", "zone"))
+    leap = (y > 0) & (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    last = F.when(mo == 2, F.when(leap, 29).otherwise(28)).when(mo.isin(4, 6, 9, 11), 30).otherwise(31)
+    fine = mo.between(1, 12) & d.between(1, 31) & (d <= last) & (F.coalesce(F.abs(zone), F.lit(0)) <= _FARTHEST)
+    fine = (fine | ~dated) & (h <= 24) & (mi <= 59) & (sec <= 59)
     return F.when(fine, F.struct(
         y.alias("year"), mo.alias("month"), d.alias("day"), h.alias("hour"), mi.alias("minute"), sec.alias("second"), millis.alias("millis"), zone.alias("zone"),
-        F.when(gap != "", F.when(F.upper(gap).contains("T"), "T").otherwise(" ")).alias("separator"), dated.alias("has_date"), (clock[0] != "").alias("has_time")))
+        F.when(gap != "", F.when(F.upper(gap).contains("T"), "T").otherwise(" ")).alias("separator"), dated.alias("has_date"), (hours != "").alias("has_time")))
 
 
 def parts_of_millis(ms: Column) -> Column:
