@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varidoc.functions.values import doc_type
+from varidoc.functions.values import as_array, as_dict, doc_type
 
 #: Nesting that a walk follows at most; deeper documents are an error.
 MAX_DEPTH = 100
 
 
-def _type(v: Column) -> Column:
-    """doc_type, without looking through containers."""
-    return (F.when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), "array")
-            .when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), "dict").otherwise(doc_type(v)))
-
-
 def nesting(v: Column) -> Column:
     """How many containers lie around a document's innermost value: 0 for a scalar."""
     brackets = F.regexp_replace(F.to_json(v), r'"(?:[^"\\]|\\.)*"|[^\[\]{}]', "")
@@ -25,6 +19,14 @@ def nesting(v: Column) -> Column:
     return F.reduce(steps, at, lambda d, s: F.struct((d["now"] + s).alias("now"), F.greatest(d["most"], d["now"] + s).alias("most")), lambda d: d["most"])
 
 
+def _nested(df: DataFrame, v: str) -> int:
+    """The greatest nesting of df's documents, which a walk must be able to follow."""
+    depth = df.agg(F.max(nesting(F.col(v)))).first()[0] or 0
+    if depth > MAX_DEPTH:
+        raise ValueError(f"documents are nested {depth} deep, and a walk follows {MAX_DEPTH} levels")
+    return depth
+
+
 def _escaped(key: Column) -> Column:
     return F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
@@ -46,34 +48,29 @@ def doc_walk(df: DataFrame, id_col: str, v: str, *, max_depth: int | None = None
     pointers are skipped.
     """
     if max_depth is None:
-        max_depth = df.agg(F.max(nesting(F.col(v)))).first()[0] or 0
-    if max_depth > MAX_DEPTH:
-        raise ValueError(f"documents are nested {max_depth} deep, and a walk follows {MAX_DEPTH} levels")
-    none = F.lit(None)
-    root = F.struct(
-        F.lit("/").alias("pointer"), F.lit("").alias("path"), none.cast("string").alias("parent_pointer"), none.cast("string").alias("key"), none.cast("int").alias("idx"),
-        F.lit(0).alias("depth"), _type(F.col(v)).alias("type"), F.col(v).alias("value"), none.cast("array<int>").alias("visit"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("opened"))
-    rows = df.filter(F.col(v).isNotNull()).select(F.col(id_col).alias("id"), root.alias("node"))
-    n = F.col("node")
+        max_depth = _nested(df, v)
+    none, n = F.lit(None), F.col
+    rows = df.filter(F.col(v).isNotNull()).select(
+        F.col(id_col).alias("id"), F.lit("/").alias("pointer"), F.lit("").alias("path"), none.cast("string").alias("parent_pointer"), none.cast("string").alias("key"), none.cast("int").alias("idx"),
+        F.lit(0).alias("depth"), doc_type(F.col(v)).alias("type"), F.col(v).alias("value"), none.cast("array<int>").alias("visit"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("opened"))
     for depth in range(1, max_depth + 1):
-        open_ = (n["depth"] == depth - 1) & n["type"].isin("array", "dict")
+        open_ = (n("depth") == depth - 1) & n("type").isin("array", "dict")
         if prune:
-            open_ = open_ & ~n["pointer"].isin(*prune)
-
-        def child(key: Column, idx: Column, pos: Column, value: Column, depth: int = depth) -> Column:
-            step = F.coalesce(_escaped(key), pos.cast("string"))
-            return F.struct(
-                F.concat(F.when(n["pointer"] == "/", "").otherwise(n["pointer"]), F.lit("/"), step).alias("pointer"), _path(n["path"], key, idx).alias("path"), n["pointer"].alias("parent_pointer"),
-                key.alias("key"), idx.alias("idx"), F.lit(depth).alias("depth"), _type(value).alias("type"), value.alias("value"), n["opened"].alias("visit"), pos.alias("pos"),
-                F.concat(n["opened"], F.array(-pos)).alias("opened"))
-
-        entries = F.map_entries(F.try_variant_get(n["value"], "$", "map<string,variant>"))
-        items = F.try_variant_get(n["value"], "$", "array<variant>")
-        inside = (F.when(open_ & (n["type"] == "dict"), F.transform(entries, lambda e, i: child(e["key"], none.cast("int"), i, e["value"])))
-                  .when(open_, F.transform(items, lambda x, i: child(none.cast("string"), i, i, x))))
-        # a row stays, and its container's values come beside it: one pass over what was found so far
-        rows = rows.select("id", F.explode(F.concat(F.array(n), F.coalesce(inside, F.array()))).alias("node"))
-    return rows.select("id", *[n[c].alias(c) for c in ("pointer", "path", "parent_pointer", "key", "idx", "depth", "type", "value", "visit", "pos")])
+            open_ = open_ & ~n("pointer").isin(*prune)
+        entry = lambda key, pos, value: F.struct(key.cast("string").alias("key"), pos.cast("int").alias("pos"), value.alias("value"))
+        inside = (F.when(open_ & (n("type") == "dict"), F.transform(F.map_entries(as_dict(n("value"))), lambda e, i: entry(e["key"], i, e["value"])))
+                  .when(open_, F.transform(as_array(n("value")), lambda x, i: entry(none, i, x))))
+        # a row stays, and its container's values come beside it: one pass over what was found so far. All else is made
+        # of columns behind the explode, so that Spark leaves out those that nobody asks for
+        rows = rows.select("*", F.explode(F.concat(F.array(entry(none, none, n("value"))), F.coalesce(inside, F.array()))).alias("found"))
+        key, pos, value = (F.col("found")[c] for c in ("key", "pos", "value"))
+        idx = F.when(key.isNull(), pos)
+        made = {
+            "pointer": F.concat(F.when(n("pointer") == "/", "").otherwise(n("pointer")), F.lit("/"), F.coalesce(_escaped(key), pos.cast("string"))), "path": _path(n("path"), key, idx), "parent_pointer": n("pointer"),
+            "key": key, "idx": idx, "depth": F.lit(depth), "type": doc_type(value), "visit": n("opened"), "pos": pos, "opened": F.concat(n("opened"), F.array(-pos))}
+        made = {c: F.when(pos.isNotNull(), x).otherwise(n(c)).alias(c) for c, x in made.items()}
+        rows = rows.select("id", *[made.get(c, value.alias(c)) for c in rows.columns if c not in ("id", "found")])
+    return rows.drop("opened")
 
 
 def diff_rows(old: DataFrame, new: DataFrame, id_col: str, v: str, *, max_depth: int | None = None) -> DataFrame:
