@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varidoc.functions.collections import empty_dict
 from varidoc.functions.values import as_array, as_dict, doc_type
 
 #: Nesting that a walk follows at most; deeper documents are an error.
@@ -73,12 +74,41 @@ def doc_walk(df: DataFrame, id_col: str, v: str, *, max_depth: int | None = None
     return rows.drop("opened")
 
 
+def _same(a: Column, b: Column) -> Column:
+    """Whether documents show no difference, by their text and types; false also where types within an array are mixed."""
+    k = F.schema_of_variant(a)
+    return F.coalesce(F.when(F.to_json(a) == F.to_json(b), (k == F.schema_of_variant(b)) & ~k.contains("VARIANT")), F.lit(False))
+
+
+def _steps(v: Column) -> Column:
+    """Values of a container by the last part of their pointers; empty for a scalar."""
+    items = as_array(v)
+    return F.coalesce(as_dict(v), F.map_from_arrays(F.transform(items, lambda _, i: i.cast("string")), items), empty_dict())
+
+
 def diff_rows(old: DataFrame, new: DataFrame, id_col: str, v: str, *, max_depth: int | None = None) -> DataFrame:
-    """Structural difference by a full outer join of two walks: id, pointer, change (added, removed,
-    changed), old_value, new_value (JSON text). Containers show only when their type changes."""
-    side = lambda df, name: doc_walk(df, id_col, v, max_depth=max_depth).select(
-        "id", "pointer", F.col("type").alias(f"{name}_type"), F.when(~F.col("type").isin("array", "dict"), F.to_json("value")).alias(f"{name}_value"))
-    both = side(old, "old").join(side(new, "new"), ["id", "pointer"], "full")
+    """Structural difference by a walk through both documents of an id at once: id, pointer, change (added, removed,
+    changed), old_value, new_value (JSON text). Containers show only when their type changes; of an id that is repeated
+    each old document is compared with each new one.
+
+    Documents meet once, by id; values that are the same are not opened, so rows come from what differs."""
+    if max_depth is None:
+        max_depth = max(_nested(old, v), _nested(new, v))
+    side = lambda df, name: df.filter(F.col(v).isNotNull()).select(F.col(id_col).alias("id"), F.col(v).alias(name))
+    rows = side(old, "old").join(side(new, "new"), "id", "full").filter(~_same(F.col("old"), F.col("new")))
+    rows = rows.select("id", F.lit("/").alias("pointer"), F.lit(0).alias("depth"), "old", "new")
+    for depth in range(1, max_depth + 1):
+        entry = lambda step, a, b: F.struct(step.cast("string").alias("step"), a.alias("old"), b.alias("new"))
+        pairs = F.map_entries(F.map_zip_with(_steps(F.col("old")), _steps(F.col("new")), lambda _, x, y: F.struct(x.alias("old"), y.alias("new"))))
+        inside = F.when(F.col("depth") == depth - 1, F.transform(pairs, lambda e: entry(e["key"], e["value"]["old"], e["value"]["new"])))
+        rows = rows.select("*", F.explode(F.concat(F.array(entry(F.lit(None), F.col("old"), F.col("new"))), F.coalesce(inside, F.array()))).alias("found"))
+        step, a, b = (F.col("found")[c] for c in ("step", "old", "new"))
+        at = F.concat(F.when(F.col("pointer") == "/", "").otherwise(F.col("pointer")), F.lit("/"), _escaped(step))
+        rows = rows.filter(step.isNull() | ~_same(a, b)).select(
+            "id", F.coalesce(at, "pointer").alias("pointer"), F.when(step.isNull(), F.col("depth")).otherwise(depth).alias("depth"), a.alias("old"), b.alias("new"))
+    shown = rows.select("id", "pointer", *[x for c in ("old", "new") for x in (F.when(F.col(c).isNotNull(), doc_type(F.col(c))).alias(f"{c}_type"), F.col(c).alias(f"{c}_doc"))])
+    text = lambda c: F.when(~F.col(f"{c}_type").isin("array", "dict"), F.to_json(f"{c}_doc")).alias(f"{c}_value")
+    both = shown.select("id", "pointer", "old_type", "new_type", text("old"), text("new"))
     change = (F.when(F.col("old_type").isNull(), "added").when(F.col("new_type").isNull(), "removed")
               .when((F.col("old_type") != F.col("new_type")) | ~F.col("old_value").eqNullSafe(F.col("new_value")), "changed"))
     return both.withColumn("change", change).filter("change is not null").select("id", "pointer", "change", "old_value", "new_value")
