@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varidoc.functions.collections import empty_dict
-from varidoc.functions.values import as_array, as_dict, doc_type
+from varidoc.functions.values import as_array, as_dict, doc_type, is_array, is_dict
 
 #: Nesting that a walk follows at most; deeper documents are an error.
 MAX_DEPTH = 100
+#: Levels that are opened by Spark's explode of variants; a plan of more such levels overflows the stack.
+QUICK_DEPTH = 32
 
 
 def nesting(v: Column) -> Column:
     """How many containers lie around a document's innermost value: 0 for a scalar."""
-    brackets = F.regexp_replace(F.to_json(v), r'"(?:[^"\\]|\\.)*"|[^\[\]{}]', "")
-    steps = F.transform(F.split(F.translate(brackets, "{}", "[]"), ""), lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0))
+    # whole runs at a time and without a step back, so long texts need no stack; what lies side by side counts once
+    brackets = F.translate(F.regexp_replace(F.to_json(v), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"\[\]{}]++', ""), "{}", "[]")
+    steps = F.transform(F.split(F.regexp_replace(brackets, r"(?:\[\])++", "[]"), ""), lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0))
     at = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
     return F.reduce(steps, at, lambda d, s: F.struct((d["now"] + s).alias("now"), F.greatest(d["most"], d["now"] + s).alias("most")), lambda d: d["most"])
 
@@ -38,6 +41,27 @@ def _path(parent: Column, key: Column, index: Column) -> Column:
     return F.concat(parent, F.when(index.isNotNull(), F.concat(F.lit("["), index.cast("string"), F.lit("]"))).otherwise(name))
 
 
+def _opened(rows: DataFrame, open_: Column) -> DataFrame:
+    """Rows, and beside them a row for each value in those that open_ is true of: at, name, item. A row that stays has
+    itself as item and NULL at. A container comes a second time to be opened, and the kept one is not beside the opened
+    one, so values do not repeat for each item."""
+    value, opens, others = F.col("value"), F.col("opens"), [c for c in rows.columns if c != "value"]
+    rows = rows.select("*", F.explode(F.when(open_, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("opens"))
+    rows = rows.select(*others, F.when(~opens, value).alias("kept"), F.when(opens, value).alias("opening"))
+    rows = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("opening").outer()).toDF("at", "name", "found"))
+    return rows.select(*others, "at", "name", F.coalesce("found", "kept").alias("item")).filter("item is not null")
+
+
+def _opened_in_place(rows: DataFrame, open_: Column) -> DataFrame:
+    """_opened by arrays of entries: several times slower, in a plan of few enough nodes a level for the deepest walks."""
+    value, none = F.col("value"), F.lit(None)
+    entry = lambda name, at, item: F.struct(at.cast("int").alias("at"), name.cast("string").alias("name"), item.alias("item"))
+    inside = (F.when(open_ & is_dict(value), F.transform(F.map_entries(as_dict(value)), lambda e, i: entry(e["key"], i, e["value"])))
+              .when(open_, F.transform(as_array(value), lambda x, i: entry(none, i, x))))
+    found = F.explode(F.concat(F.array(entry(none, none, value)), F.coalesce(inside, F.array()))).alias("found")
+    return rows.select("*", found).select(*[c for c in rows.columns if c != "value"], "found.*")
+
+
 def doc_walk(df: DataFrame, id_col: str, v: str, *, max_depth: int | None = None, prune: tuple[str, ...] = ()) -> DataFrame:
     """id, pointer, path, parent_pointer, key, idx, depth, type, value, visit, pos. The root's pointer is `/`.
 
@@ -53,25 +77,20 @@ def doc_walk(df: DataFrame, id_col: str, v: str, *, max_depth: int | None = None
     none, n = F.lit(None), F.col
     rows = df.filter(F.col(v).isNotNull()).select(
         F.col(id_col).alias("id"), F.lit("/").alias("pointer"), F.lit("").alias("path"), none.cast("string").alias("parent_pointer"), none.cast("string").alias("key"), none.cast("int").alias("idx"),
-        F.lit(0).alias("depth"), doc_type(F.col(v)).alias("type"), F.col(v).alias("value"), none.cast("array<int>").alias("visit"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("opened"))
+        F.lit(0).alias("depth"), F.col(v).alias("value"), none.cast("array<int>").alias("visit"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("opened"))
     for depth in range(1, max_depth + 1):
-        open_ = (n("depth") == depth - 1) & n("type").isin("array", "dict")
+        open_ = (n("depth") == depth - 1) & (is_dict(n("value")) | is_array(n("value")))
         if prune:
             open_ = open_ & ~n("pointer").isin(*prune)
-        entry = lambda key, pos, value: F.struct(key.cast("string").alias("key"), pos.cast("int").alias("pos"), value.alias("value"))
-        inside = (F.when(open_ & (n("type") == "dict"), F.transform(F.map_entries(as_dict(n("value"))), lambda e, i: entry(e["key"], i, e["value"])))
-                  .when(open_, F.transform(as_array(n("value")), lambda x, i: entry(none, i, x))))
-        # a row stays, and its container's values come beside it: one pass over what was found so far. All else is made
-        # of columns behind the explode, so that Spark leaves out those that nobody asks for
-        rows = rows.select("*", F.explode(F.concat(F.array(entry(none, none, n("value"))), F.coalesce(inside, F.array()))).alias("found"))
-        key, pos, value = (F.col("found")[c] for c in ("key", "pos", "value"))
+        rows = (_opened if depth <= QUICK_DEPTH else _opened_in_place)(rows, open_)
+        # all else is made of columns behind the explode, so that Spark leaves out those that nobody asks for
+        key, pos = n("name"), n("at")
         idx = F.when(key.isNull(), pos)
         made = {
             "pointer": F.concat(F.when(n("pointer") == "/", "").otherwise(n("pointer")), F.lit("/"), F.coalesce(_escaped(key), pos.cast("string"))), "path": _path(n("path"), key, idx), "parent_pointer": n("pointer"),
-            "key": key, "idx": idx, "depth": F.lit(depth), "type": doc_type(value), "visit": n("opened"), "pos": pos, "opened": F.concat(n("opened"), F.array(-pos))}
-        made = {c: F.when(pos.isNotNull(), x).otherwise(n(c)).alias(c) for c, x in made.items()}
-        rows = rows.select("id", *[made.get(c, value.alias(c)) for c in rows.columns if c not in ("id", "found")])
-    return rows.drop("opened")
+            "key": key, "idx": idx, "depth": F.lit(depth), "visit": n("opened"), "pos": pos, "opened": F.concat(n("opened"), F.array(-pos))}
+        rows = rows.select("id", *[F.when(pos.isNotNull(), x).otherwise(n(c)).alias(c) for c, x in made.items()], n("item").alias("value"))
+    return rows.select("id", "pointer", "path", "parent_pointer", "key", "idx", "depth", doc_type(n("value")).alias("type"), "value", "visit", "pos")
 
 
 def _same(a: Column, b: Column) -> Column:
