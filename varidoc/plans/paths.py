@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from varidoc.functions.binding import bind
 from varidoc.functions.collections import array_get, dict_get, empty_dict
-from varidoc.functions.values import as_array, as_dict, doc_type
+from varidoc.functions.values import as_array, as_dict, is_array
 
 _INDEX = re.compile(r"\[(-?\d+)\]")
 _NAME = re.compile(r"(?:\\.|[^\\.\[])+", re.S)
@@ -118,7 +118,7 @@ def doc_pointer_by(v: Column, pointer: Column) -> Column:
     """The value at a JSON pointer that is a column; NULL also where it does not begin with /."""
     parts = F.transform(F.split(F.substring(pointer, 2, 1 << 30), "/"), lambda p: F.replace(F.replace(p, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
     index = lambda p: F.when(p.rlike(r"^(?:0|[1-9]\d{0,8})$"), p.try_cast("int"))
-    step = lambda found, p: F.when(doc_type(found) == "array", F.get(as_array(found), index(p))).otherwise(F.try_element_at(as_dict(found), p))
+    step = lambda found, p: F.when(is_array(found), F.get(as_array(found), index(p))).otherwise(F.try_element_at(as_dict(found), p))
     return F.when(pointer.isin("", "/"), v).when(pointer.startswith("/"), F.reduce(parts, v, step))
 
 
