@@ -20,6 +20,7 @@ id that is not null. Texts are found by their sets, never by ids. Only the id an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,10 @@ BLOCK = 2048
 ERRORS = 4.5
 #: Least hashes of a set that a task compares sets by; smaller sets are compared whole.
 SAMPLE = 512
+#: Characters of texts whose sets a task makes at once.
+GROUP_CHARS = 1 << 19
+#: Pairs whose sets a task holds at once.
+PAIRS = 16
 #: Members of a bucket that are all compared with each other at once.
 SMALL = 6
 #: Central members of a bucket that its others are compared with.
@@ -46,7 +51,6 @@ LEADERS = 3
 TRIES = 2
 
 _U = np.uint64
-_word_hashes = Memo()
 _sets = Memo()
 
 
@@ -57,52 +61,107 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct shingle hashes. A-Z is lower-cased; words are split at space and tab to return."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    for w in _word_hashes.missing(set(words)):
-        _word_hashes.add(w, xxhash.xxh3_64_intdigest(w), len(w) + 180)
-    h = np.fromiter(map(_word_hashes.known.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = min(WORDS, len(h))
-    if not n:
-        return h
+def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in groups of about GROUP_CHARS characters; a longer one is alone."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text or "") > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text or "")
+    if group:
+        yield group
+
+
+def _word_rows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words, end to end, and how many each has. A-Z is lower-cased; words are split at
+    space and tab to return."""
+    rows = [(text or "").encode("utf-8", "surrogatepass").lower().split() for text in texts]
+    count = np.array([*map(len, rows)], dtype=np.int64)
+    # hashing a word again costs less than finding it in a memo
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(rows)), dtype=np.uint64, count=int(count.sum())), count
+
+
+def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, end to end, and how many each has."""
+    h, count = _word_rows(texts)
+    start = np.cumsum(count) - count
+    size = np.where(count > 0, np.maximum(count - WORDS + 1, 1), 0)
+    end = np.cumsum(size)
+    all_, first = np.zeros(int(size.sum()), dtype=np.uint64), end - size
     with np.errstate(over="ignore"):
-        s = np.full(len(h) - n + 1, n, dtype=np.uint64)
-        for k in range(n):
-            s = _mixed(s * _U(0x9E3779B97F4A7C15) + h[k : k + len(s)])
-    return np.unique(s)
-
-
-def remembered_set(text: str) -> np.ndarray:
-    """shingle_set, for texts that come again soon."""
-    got = _sets.get(text)
-    if got is None:
-        _sets.tidy()
-        s = shingle_set(text)
-        got = _sets.add(text, s, s.nbytes + 2 * len(text) + 200)
-    return got
+        if len(h) >= WORDS:
+            s = np.full(len(h) - WORDS + 1, WORDS, dtype=np.uint64)
+            for k in range(WORDS):
+                s = _mixed(s * _U(0x9E3779B97F4A7C15) + h[k : k + len(s)])
+        for n in range(1, WORDS):  # fewer words make one shingle
+            at = np.flatnonzero(count == n)
+            if len(at):
+                one = np.full(len(at), n, dtype=np.uint64)
+                for k in range(n):
+                    one = _mixed(one * _U(0x9E3779B97F4A7C15) + h[start[at] + k])
+                all_[first[at]] = one
+    for i in np.flatnonzero(count >= WORDS).tolist():
+        own = all_[first[i] : end[i]]
+        own[:] = s[start[i] : start[i] + size[i]]
+        own.sort()
+    keep = np.ones(len(all_), dtype=bool)
+    np.not_equal(all_[1:], all_[:-1], out=keep[1:])
+    some = np.flatnonzero(size)
+    keep[first[some]] = True
+    if len(some):
+        size[some] = np.add.reduceat(keep.astype(np.int64), first[some])
+    return all_[keep], size
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit digests of a set, as signed integers."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    return shingle_sets([text])[0]
+
+
+def remembered_sets(texts: list[str]) -> list[np.ndarray]:
+    """shingle_set of each text, for texts that come again soon."""
+    _sets.tidy()
+    got = {text: _sets.get(text) for text in set(texts)}
+    for group in _groups([text for text, s in got.items() if s is None]):
+        flat, sizes = shingle_sets(group)
+        for text, s in zip(group, np.split(flat, np.cumsum(sizes)[:-1])):
+            got[text] = _sets.add(text, s.copy(), s.nbytes + 2 * len(text) + 200)
+    return [got[text] for text in texts]
+
+
+def digests(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set, as signed integers."""
+    some = np.flatnonzero(sizes)
+    first = (np.cumsum(sizes) - sizes)[some]
+    out = np.zeros((2, len(sizes)), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        return tuple(int(np.int64(_mixed(s ^ _U(c)).sum(dtype=np.uint64).astype(np.int64))) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+        for made, c in zip(out, (0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+            if len(some):
+                made[some] = np.add.reduceat(_mixed(flat ^ _U(c)), first)
+    return out[0].view(np.int64), out[1].view(np.int64)
 
 
-def registers(s: np.ndarray) -> np.ndarray:
-    """The sketch of a sorted set: for each bucket of the hash range its least hash, compressed; 0: empty."""
+def register_rows(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sketches of sorted sets, a row each: for each bucket of the hash range its least hash, compressed; 0: empty."""
     shift = 64 - (REGISTERS.bit_length() - 1)
-    bucket = (s >> _U(shift)).astype(np.int64)
-    own, first = np.unique(bucket, return_index=True)
-    low = s[first] & _U((1 << shift) - 1)
+    place = np.repeat(np.arange(len(sizes)) * REGISTERS, sizes) + (flat >> _U(shift)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    low = flat[first] & _U((1 << shift) - 1)
     # the position of the leading one, exactly: by halves, since 64-bit floats would round
     high = np.frexp((low >> _U(28)).astype(np.float64))[1].astype(np.int64)
     small = np.frexp((low & _U((1 << 28) - 1)).astype(np.float64))[1].astype(np.int64)
     length = np.where(high > 0, high + 28, small)
     body = np.where(length > MANTISSA, low >> np.maximum(length - 1 - MANTISSA, 0).astype(np.uint64), low << np.maximum(MANTISSA + 1 - length, 0).astype(np.uint64))
-    out = np.zeros(REGISTERS, dtype=np.uint16)
-    out[own] = ((shift - length + 1) << MANTISSA | (body.astype(np.int64) & ((1 << MANTISSA) - 1))).astype(np.uint16)
-    return out
+    out = np.zeros(len(sizes) * REGISTERS, dtype=np.uint16)
+    out[place[first]] = ((shift - length + 1) << MANTISSA | (body.astype(np.int64) & ((1 << MANTISSA) - 1))).astype(np.uint16)
+    return out.reshape(len(sizes), REGISTERS)
+
+
+def registers(s: np.ndarray) -> np.ndarray:
+    """The sketch of a sorted set."""
+    return register_rows(s, np.array([len(s)]))[0]
 
 
 def expected_collisions(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -133,17 +192,15 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, twin, regs = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text)
-                a, b = digest(s)
-                n.append(len(s))
-                node.append(a)
-                twin.append(b)
-                regs.append(registers(s).astype("<u2").tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays(
-                [*map(batch.column, others), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(regs, pa.binary())],
-                [*others, "n_shingles", "node", "twin", "registers"])
+            at = 0
+            for group in _groups(batch.column("text").to_pylist()):
+                flat, sizes = shingle_sets(group)
+                node, twin = digests(flat, sizes)
+                regs = [r.tobytes() if n else b"" for r, n in zip(register_rows(flat, sizes).astype("<u2"), sizes.tolist())]
+                own = batch.slice(at, len(group))
+                at += len(group)
+                yield pa.RecordBatch.from_arrays([*map(own.column, others), pa.array(sizes), pa.array(node), pa.array(twin), pa.array(regs, pa.binary())],
+                                                 [*others, "n_shingles", "node", "twin", "registers"])
 
     return docs.mapInArrow(in_parts(run), f"{types}n_shingles long, node long, twin long, registers binary")
 
@@ -155,14 +212,15 @@ def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            at, node, twin = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                made = digest(shingle_set(text))
-                if made not in seen:
-                    seen.add(made)
-                    at.append(i)
-                    node.append(made[0])
-                    twin.append(made[1])
+            at, node, twin, i = [], [], [], 0
+            for group in _groups(batch.column("text").to_pylist()):
+                for made in zip(*[d.tolist() for d in digests(*shingle_sets(group))]):
+                    if made not in seen:
+                        seen.add(made)
+                        at.append(i)
+                        node.append(made[0])
+                        twin.append(made[1])
+                    i += 1
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(twin, pa.int64()), batch.column("text").take(pa.array(at, pa.int64()))], ["node", "twin", "text"])
 
     firsts = docs.select("text").mapInArrow(in_parts(run), "node long, twin long, text string")
@@ -209,10 +267,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for t_a, t_b in zip(*[batch.column(c).to_pylist() for c in ("t_a", "t_b")]):
-                x, y = remembered_set(t_a), remembered_set(t_b)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            t_a, t_b = (batch.column(c).to_pylist() for c in ("t_a", "t_b"))
+            for i in range(0, len(t_a), PAIRS):
+                a, b = t_a[i : i + PAIRS], t_b[i : i + PAIRS]
+                sets = remembered_sets([*a, *b])
+                for x, y in zip(sets[: len(a)], sets[len(a) :]):
+                    z = np.concatenate([x, y])
+                    z.sort()
+                    both = int(np.count_nonzero(z[1:] == z[:-1]))
+                    keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
@@ -247,7 +310,10 @@ def _samples(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(shingle_set(t)[:SAMPLE] >> _U(32)).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
+            made = []
+            for group in _groups(batch.column("text").to_pylist()):
+                flat, sizes = shingle_sets(group)
+                made += [(x[:SAMPLE] >> _U(32)).astype("<u4").tobytes() for x in np.split(flat, np.cumsum(sizes)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "sample"])
 
     return texts.mapInArrow(in_parts(run), "node long, sample binary")
