@@ -145,3 +145,30 @@ def test_plan_seats_every_document(counts):
     combos, repeat = packing.plan(np.array(counts, float), 8, 4)
     assert [*(combos.T @ repeat if len(combos) else np.zeros(8))] == counts
     assert (combos @ np.arange(1, 9) <= 8).all() if len(combos) else True
+
+
+def test_encoder_starts_no_threads():
+    """A worker has one core: the tokenizer's library must not start threads of its own for each of them."""
+    import os
+    import subprocess
+    import sys
+
+    code = """if True:
+        import os
+        from varidoc.llm import packing
+        encoder = packing.Encoder(packing.tokenizer_path())
+        before = len(os.listdir("/proc/self/task"))
+        encoder.ids(" ".join(f"word{i} x{i}y" for i in range(500)), b"")
+        print(len(os.listdir("/proc/self/task")) - before)
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": root}
+    assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout.split() == ["0"]
+
+
+@given(st.text(st.sampled_from(" \n\tabéя.,!5-'"), max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_stops(text):
+    """Stops are parted from the letters before them where white space follows, and nowhere else."""
+    want = "".join(" " + c if c in ".," and i and text[i - 1] in "abéя" and text[i + 1 : i + 2] in (" ", "\n") else c for i, c in enumerate(text))
+    assert packing._STOP.sub(r" \g<0>", text) == want

@@ -17,6 +17,7 @@ give no pieces. Columns other than the id and the text are not read.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 import zlib
@@ -34,8 +35,9 @@ from .common import BUCKET_ROWS, Memo, buckets_for, in_parts, slice_of, with_run
 from .token_counts import chunks_of, settled, tokenizer_path
 
 
-#: A full stop or comma behind a letter and before white space, which the tokenizer takes as a word of its own.
-_STOP = re.compile("(?<=[a-zß-öø-ÿāăąćčďđēėęěğģīįķļľłńņňōőœŕřśşšťţūůűųźżžа-яё])[.,](?=[ \n])")
+#: A full stop or comma behind a letter and before white space, which the tokenizer takes as a word of its own. The
+#: stop is looked for first: a pattern that begins by looking back is tried at every character.
+_STOP = re.compile("[.,](?<=[a-zß-öø-ÿāăąćčďđēėęěğģīįķļľłńņňōőœŕřśşšťţūůűųźżžа-яё][.,])(?=[ \n])")
 #: Bytes that a generation of a worker's memo of chunks may take.
 MEMO_BYTES = 40_000_000
 
@@ -46,6 +48,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        # Spark gives each core a worker; the library's own threads would only wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         suffix = spec["model"].get("end_of_word_suffix")
